@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_dedup
+from .language_id import predict_language
 from .mixing import mix
+from .packing import pack, piece_digests
 from .simhash_dedup import simhash_components
+from .token_store import token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"))
 
@@ -24,6 +34,18 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +55,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_embedding_dedup, op3_source_mixing, op8_exact_dedup, op10_simhash_dedup]
+    found = [
+        op1_embedding_dedup, op3_source_mixing, op4_harmonic_packing, op5_language_id,
+        op7_token_output, op8_exact_dedup, op10_simhash_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
