@@ -1,7 +1,7 @@
 """Token-id shards with a minimal perfect hash index, and readers for them.
 
-A shard is two files. ``*.ids``: the raw ids (little-endian unsigned 32-bit) of the shard's
-documents in ascending key order. ``*.mph``: a header, the levels of a minimal perfect hash
+A shard is two files. ``*.ids``: the raw ids of the shard's documents in ascending key
+order, little-endian, two bytes each for vocabularies of up to 65,536 ids, else four. ``*.mph``: a header, the levels of a minimal perfect hash
 over the shard's keys, one record (fingerprint, start, length) for each hash slot, and the
 keys in order. A lookup hashes the key, probes one bit on each level until one is set,
 takes the bit's rank as slot, compares the stored fingerprint and reads the ids at the
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, shared_folder
-from .tokens import encoder, in_groups
+from .tokens import encoder, in_groups, narrowest
 
-MAGIC = b"TIDS0001"
-_HEAD = struct.Struct("<8sQQI")
+MAGIC = b"TIDS0002"
+_HEAD = struct.Struct("<8sQQII")
 RECORD = np.dtype([("fingerprint", "<u8"), ("start", "<u8"), ("length", "<u8")])
 KEY = np.dtype([("doc_id", "<i8"), ("occurrence", "<u4"), ("is_null", "<u4")])
 GAMMA = 2
@@ -96,14 +96,14 @@ class PerfectHash:
         return out
 
 
-def index_bytes(keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
+def index_bytes(keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> bytes:
     hashes = key_hash(keys)
     mph = PerfectHash.build(hashes)
     records = np.zeros(len(keys), RECORD)
     slot = mph.slots(hashes)
     records["fingerprint"][slot] = _mix(hashes, 999)
     records["start"][slot], records["length"][slot] = starts, lengths
-    head = _HEAD.pack(MAGIC, len(keys), int(lengths.sum()), len(mph.levels))
+    head = _HEAD.pack(MAGIC, len(keys), int(lengths.sum()), len(mph.levels), width)
     sizes = struct.pack(f"<{len(mph.levels)}Q", *map(len, mph.levels))
     return b"".join([head, sizes, *(x.tobytes() for x in mph.levels), records.tobytes(), keys.tobytes()])
 
@@ -112,8 +112,8 @@ class Shard:
     """Keyed access to one shard's ids."""
 
     def __init__(self, ids: bytes | memoryview, index: bytes):
-        magic, n, self.n_ids, n_levels = _HEAD.unpack_from(index)
-        if magic != MAGIC or len(ids) != 4 * self.n_ids:
+        magic, n, self.n_ids, n_levels, width = _HEAD.unpack_from(index)
+        if magic != MAGIC or len(ids) != width * self.n_ids:
             raise ValueError("not a whole shard")
         at = _HEAD.size + 8 * n_levels
         levels = []
@@ -123,7 +123,7 @@ class Shard:
         self.mph = PerfectHash.ranked(levels)
         self.records = np.frombuffer(index, RECORD, n, at)
         self.keys = np.frombuffer(index, KEY, n, at + self.records.nbytes)
-        self.ids = memoryview(ids)
+        self.ids = np.frombuffer(ids, f"<u{width}")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) in ids for each key; length -1 where the shard doesn't hold it."""
@@ -138,7 +138,7 @@ class Shard:
     def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
         key = np.array([(doc_id or 0, occurrence, doc_id is None)], KEY)
         start, length = self.find(key)
-        return None if length[0] < 0 else np.frombuffer(self.ids[4 * start[0] : 4 * (start[0] + length[0])], "<u4")
+        return None if length[0] < 0 else self.ids[start[0] : start[0] + length[0]]
 
 
 def _open(uri: str):
@@ -158,22 +158,23 @@ def _put(uri: str, blobs: list[bytes]) -> None:
     files.move(part, path)
 
 
-def _writer(folder: str, tokenizer: str, kind: str, end_id: int, shard_bytes: int):
+def _writer(folder: str, tokenizer: str, kind: str, dtype: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of, worker = encoder(tokenizer, kind), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        ids_of, worker = encoder(tokenizer, kind, dtype), TaskContext.get().partitionId()
+        end = np.array([end_id], dtype).tobytes()
+        width = len(end)
         keys: list[tuple] = []
         blobs: list[bytes] = []
         last, seen, held, number = object(), 0, 0, 0
 
         def close() -> pa.RecordBatch:
             name = f"{folder}/shard-{worker:07d}-{number:05d}"
-            lengths = np.array([len(b) // 4 for b in blobs], np.int64)
+            lengths = np.array([len(b) // width for b in blobs], np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             _put(f"{name}.ids", blobs)
-            _put(f"{name}.mph", [index_bytes(np.array(keys, KEY), starts, lengths)])
+            _put(f"{name}.mph", [index_bytes(np.array(keys, KEY), starts, lengths, width)])
             return pa.RecordBatch.from_pydict(
                 {"worker": [worker], "number": [number], "path": [name], "n_docs": [len(keys)], "n_ids": [int(lengths.sum())]},
                 schema=pa.schema([("worker", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
@@ -199,7 +200,7 @@ def _writer(folder: str, tokenizer: str, kind: str, end_id: int, shard_bytes: in
 
 def write_shards(
     docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 0, kind: str = "byte", shard_bytes: int = 32 << 20,
+    end_id: int = 0, kind: str = "byte", shard_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Write all documents' ids below ``folder`` in ascending id order; the manifest, one row per shard.
 
@@ -211,7 +212,7 @@ def write_shards(
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     written = materialize(
         ordered.mapInArrow(
-            _writer(folder, tokenizer, kind, end_id, shard_bytes), "worker int, number int, path string, n_docs long, n_ids long"
+            _writer(folder, tokenizer, kind, narrowest(tokenizer), end_id, shard_bytes), "worker int, number int, path string, n_docs long, n_ids long"
         )
     )
     # one row per shard, some megabytes each: the only rows that meet in one task
@@ -228,7 +229,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, length = shard.find(shard.keys)
             if (length < 0).any():
                 raise ValueError(f"{path}: the index misses keys of its own")
-            crc = [zlib.crc32(shard.ids[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+            crc = [zlib.crc32(shard.ids[a : a + n].astype("<u4")) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shard.keys["doc_id"].astype(np.int64), mask=shard.keys["is_null"] > 0),

@@ -28,20 +28,20 @@ _ODD = {
 
 
 class Ids:
-    """Texts -> their ids as little-endian unsigned 32-bit bytes."""
+    """Texts -> their ids as little-endian unsigned bytes of the given numpy type."""
 
-    def __init__(self, path: str, kind: str, most: int = 500_000):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4", most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind, self.most, self.known = kind, most, {}
+        self.kind, self.dtype, self.most, self.known = kind, dtype, most, {}
         self.pieces, self.odd = regex.compile(_PIECES[kind]).findall, _ODD[kind].search
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         split, new = [], set()
@@ -81,11 +81,18 @@ def in_groups(column: Iterable, most: int = 128, most_chars: int = 1_000_000) ->
         yield group
 
 
-_OPEN: dict[tuple[str, str], Ids] = {}
+_OPEN: dict[tuple[str, str, str], Ids] = {}
 
 
-def encoder(path: str, kind: str) -> Ids:
+def encoder(path: str, kind: str, dtype: str = "<u4") -> Ids:
     """One encoder for each Python worker; ``kind`` is "byte" (white space is kept) or "word" (it is dropped)."""
-    if (path, kind) not in _OPEN:
-        _OPEN[path, kind] = Ids(path, kind)
-    return _OPEN[path, kind]
+    if (path, kind, dtype) not in _OPEN:
+        _OPEN[path, kind, dtype] = Ids(path, kind, dtype)
+    return _OPEN[path, kind, dtype]
+
+
+def narrowest(path: str) -> str:
+    """Two bytes an id where the vocabulary allows, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
