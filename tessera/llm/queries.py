@@ -12,6 +12,7 @@ from .language_id import predict_language
 from .mixing import mix
 from .packing import pack, piece_digests
 from .simhash_dedup import simhash_components
+from .suffix_dedup import repeated_spans, span_digests
 from .token_store import token_output
 
 
@@ -42,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(repeated_spans(_table(spark, sf_dir, "documents")))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -56,7 +61,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_embedding_dedup, op3_source_mixing, op4_harmonic_packing, op5_language_id,
+        op1_embedding_dedup, op3_source_mixing, op4_harmonic_packing, op5_language_id, op6_suffix_dedup,
         op7_token_output, op8_exact_dedup, op10_simhash_dedup,
     ]
     return {f.__name__: f for f in found}

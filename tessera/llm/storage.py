@@ -6,6 +6,7 @@ were running, and no step is computed twice because two later steps read it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,10 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back from there."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -42,3 +43,13 @@ def discard(df: DataFrame | None) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing holds any more.
+
+    The cleaner acts when the driver's JVM collects garbage, which a driver with little to
+    do may not do for an hour; a long chain of steps calls this between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
