@@ -14,6 +14,7 @@ from .packing import pack, piece_digests
 from .simhash_dedup import simhash_components
 from .suffix_dedup import repeated_spans, span_digests
 from .token_store import token_output
+from .unit_dedup import unit_dedup, with_span_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_span_text(unit_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_embedding_dedup, op3_source_mixing, op4_harmonic_packing, op5_language_id, op6_suffix_dedup,
+        op1_embedding_dedup, op2_unit_dedup, op3_source_mixing, op4_harmonic_packing, op5_language_id, op6_suffix_dedup,
         op7_token_output, op8_exact_dedup, op10_simhash_dedup,
     ]
     return {f.__name__: f for f in found}
@@ -77,5 +82,38 @@ FROM d WINDOW w AS (PARTITION BY h)
 """
 
 
+_OP2 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM t),
+laid AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM lines),
+cut AS (SELECT doc_id, pos, line, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+')) AS part,
+               generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+'), 1) AS nth FROM laid),
+parts AS (SELECT doc_id, line, part, pos + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, pos ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM cut),
+units AS (
+  SELECT doc_id, pos AS a, least(pos + length(line) + 1, length(text)) AS b, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS unit, 4 AS need
+  FROM laid JOIN t USING (doc_id)
+  UNION ALL
+  SELECT doc_id, pos, pos + length(part), trim(regexp_replace(lower(part), '\s+', ' ', 'g')), 8
+  FROM parts WHERE trim(regexp_replace(part, '\s+', ' ', 'g')) <> trim(regexp_replace(line, '\s+', ' ', 'g'))
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, a, b) AS nth FROM units WHERE unit <> '' AND length(unit) - length(replace(unit, ' ', '')) + 1 >= need),
+gone AS (SELECT doc_id, a, b FROM ranked WHERE nth > 1),
+open AS (SELECT *, a > coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM gone),
+island AS (SELECT *, sum(new::int) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM open),
+span AS (SELECT doc_id, k, min(a) AS a, max(b) AS b FROM island GROUP BY ALL),
+hole AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS before, lead(a) OVER w AS after FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+),
+kept AS (
+  SELECT doc_id, string_agg(substr(text, (before + 1)::bigint, (a - before)::bigint) || CASE WHEN after IS NULL THEN substr(text, (b + 1)::bigint) ELSE '' END, '' ORDER BY a) AS text,
+         sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(a::bigint || '-' || b::bigint, ',' ORDER BY a) AS removed_spans
+  FROM hole JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(kept.text, t.text) AS text, length(t.text) AS n_chars, coalesce(n_removed, 0)::bigint AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, coalesce(removed_spans, '') AS removed_spans
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8}
+    return {"op2_unit_dedup": _OP2, "op8_exact_dedup": _OP8}

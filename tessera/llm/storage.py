@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -53,3 +54,16 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
+
+
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(u, id, raw)``: UTF-8 texts (null: empty) with ``u`` rising with (id, null last; text).
+
+    ``u`` is distinct even where ids repeat, so it orders documents and joins rows to their own text.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("raw"))
+    place = [F.col("id").asc_nulls_last(), F.xxhash64("raw").asc()]
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place, "raw")
+    texts = materialize(ordered.select(F.monotonically_increasing_id().alias("u"), "id", "raw"), "zstd")
+    release(docs.sparkSession)
+    return texts

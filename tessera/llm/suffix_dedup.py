@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize, release
+from .storage import discard, in_order, materialize, release
 
 GRAM_SHARE, HOT = 0.52, 64
 _CHUNK = 1 << 17
@@ -379,12 +379,7 @@ def repeated_spans(
     spark = docs.sparkSession
     gram = max(length // 4, int(length * GRAM_SHARE))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("raw"))
-    place = [F.col("id").asc_nulls_last(), F.xxhash64("raw").asc()]
-    texts = materialize(
-        rows.repartitionByRange(*place).sortWithinPartitions(*place, "raw").select(F.monotonically_increasing_id().alias("u"), "id", "raw"), "zstd"
-    )
-    release(spark)
+    texts = in_order(docs, id_col, text_col)
     judged = materialize(
         texts.select("u", "raw")
         .mapInArrow(_spread(length, gram, buckets, group_bytes), "bucket int, blob binary")
