@@ -50,9 +50,11 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing holds any more.
 
     The cleaner acts when the driver's JVM collects garbage, which a driver with little to
-    do may not do for an hour; a long chain of steps calls this between them.
+    do may not do for an hour; a long chain of steps calls this between them. Listeners hold
+    the plan of the last query they were told of, so a query without shuffle goes before.
     """
     gc.collect()
+    spark.sql("select 1").collect()
     spark._jvm.System.gc()
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .storage import discard, in_order, materialize, release
 
-GRAM_SHARE, HOT = 0.52, 64
+GRAM_SHARE, HOT = 0.7, 64
 _CHUNK = 1 << 17
 _LOW = np.uint64(_CHUNK - 1)
 _BASE = 0x9E3779B97F4A7C15
