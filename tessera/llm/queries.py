@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .language_id import predict_language
 from .mixing import mix
 from .packing import pack, piece_digests
+from .quality import score_documents, with_verdict
 from .simhash_dedup import simhash_components
 from .suffix_dedup import repeated_spans, span_digests
 from .token_store import token_output
@@ -60,6 +61,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_verdict(score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -67,7 +72,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_embedding_dedup, op2_unit_dedup, op3_source_mixing, op4_harmonic_packing, op5_language_id, op6_suffix_dedup,
-        op7_token_output, op8_exact_dedup, op10_simhash_dedup,
+        op7_token_output, op8_exact_dedup, op9_quality_classifier, op10_simhash_dedup,
     ]
     return {f.__name__: f for f in found}
 
