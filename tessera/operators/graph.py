@@ -1,0 +1,119 @@
+"""Symbol and file graphs: neighbours, fan counts, bounded walks, importance, call resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def fan_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(id)``, ``edges(source, target)`` -> call sites and distinct callers and callees of every node."""
+    into = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("sites_in"), F.countDistinct("source").alias("callers"))
+    out = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("sites_out"), F.countDistinct("target").alias("callees"))
+    counts = ["sites_in", "callers", "sites_out", "callees"]
+    return nodes.select("id").join(into, "id", "left").join(out, "id", "left").select("id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))
+
+
+def walk(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
+    """Breadth-first depths (id, depth) of what the seeds reach in at most ``max_depth`` steps.
+
+    One join and one anti-join a step; the frontier is distinct, so a hub is entered once. Every step's result is
+    a checkpoint where the session has a checkpoint folder, so plans do not grow.
+    """
+    links = edges.select(F.col("source").alias("from"), F.col("target").alias("id")).distinct()
+    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    front = seen
+    spark = edges.sparkSession
+    cut = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d)
+    for depth in range(1, max_depth + 1):
+        found = front.select(F.col("id").alias("from")).join(links, "from").select("id").distinct()
+        front = cut(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = cut(seen.union(front))
+    return seen
+
+
+def truncated(edges: DataFrame, reached: DataFrame, max_depth: int) -> DataFrame:
+    """One row: whether nodes beyond ``max_depth`` remain."""
+    front = reached.where(F.col("depth") == max_depth).select(F.col("id").alias("source"))
+    beyond = edges.join(front, "source", "left_semi").select(F.col("target").alias("id")).join(reached, "id", "left_anti")
+    return beyond.agg((F.count("*") > 0).alias("truncated"))
+
+
+def hubs(edges: DataFrame, k: int) -> DataFrame:
+    return edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("sites")).orderBy(F.desc("sites"), "id").limit(k)
+
+
+def edges_of(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Names at both ends to ids; what does not resolve goes, repeated edges once."""
+    a = symbols.select(F.col("id").alias("source"), F.col("qualified_name").alias("source_name"))
+    b = symbols.select(F.col("id").alias("target"), F.col("qualified_name").alias("target_name"))
+    return calls.join(a, "source_name").join(b, "target_name").select("source", "target", "type", "line").distinct()
+
+
+def symbol_lookup(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """``names(asked)`` -> (asked, id, tier, total): exact qualified name, else name, else suffix after ``:`` or ``.``.
+
+    Suffixes are exploded and joined, so every tier is an equi-join.
+    """
+    parts = F.split("qualified_name", "[:.]")
+    n = F.size(parts)
+    # tails of the qualified name at each separator, with the separators as they are
+    tails = F.transform(
+        F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda k: F.col("qualified_name").substr(F.length(F.array_join(F.slice(parts, 1, k), ".")) + 2, F.length("qualified_name")),
+    )
+    keys = F.array_union(
+        F.array(F.struct(F.lit(1).alias("tier"), F.col("qualified_name").alias("key")), F.struct(F.lit(2).alias("tier"), F.col("name").alias("key"))),
+        F.transform(tails, lambda t: F.struct(F.lit(3).alias("tier"), t.alias("key"))),
+    )
+    listed = symbols.select("id", F.explode(keys).alias("k")).select("id", "k.tier", F.col("k.key").alias("asked"))
+    found = listed.join(names.select("asked").distinct(), "asked", "left_semi").groupBy("asked", "id").agg(F.min("tier").alias("tier"))
+    best = found.groupBy("asked").agg(F.min("tier").alias("tier"))
+    hit = found.join(best, ["asked", "tier"])
+    return hit.join(hit.groupBy("asked").agg(F.count("*").alias("total")), "asked").select("asked", "id", "tier", "total")
+
+
+def resolved_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Unqualified calls (call_id, file_path, callee) to (call_id, target, resolution, confidence).
+
+    Tiers in order: the symbol an import names, the only one of that name in the file, the only one of that name at all.
+    Each tier is an equi-join that keeps calls with exactly one candidate.
+    """
+    s = symbols.select(F.col("id").alias("target"), F.col("name").alias("callee"), F.col("file_path").alias("symbol_file"))
+
+    def only(found: DataFrame, tier: int, name: str, confidence: float) -> DataFrame:
+        one = found.groupBy("call_id").agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most")
+        return one.select("call_id", "target", F.lit(tier).alias("tier"), F.lit(name).alias("resolution"), F.lit(confidence).alias("confidence"))
+
+    named = imports.select("file_path", F.col("local_name").alias("callee"), F.col("source").alias("symbol_file"))
+    tiers = [
+        only(calls.join(named, ["file_path", "callee"]).join(s, ["callee", "symbol_file"]), 1, "import_map", 0.95),
+        only(calls.join(s.withColumnRenamed("symbol_file", "file_path"), ["callee", "file_path"]), 2, "same_module", 0.90),
+        only(calls.join(unique_names(s), "callee"), 3, "unique_name", 0.75),
+    ]
+    every = tiers[0].union(tiers[1]).union(tiers[2])
+    return every.groupBy("call_id").agg(F.min_by(F.struct("target", "resolution", "confidence"), "tier").alias("x")).select("call_id", "x.*")
+
+
+def unique_names(symbols: DataFrame) -> DataFrame:
+    """Names that stand for one symbol: folded before any join, so a common name never multiplies its calls."""
+    return symbols.groupBy("callee").agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most").drop("most")
+
+
+def importance(files: DataFrame, imports: DataFrame, depths: DataFrame, now) -> DataFrame:
+    """(path, score, band): closeness to an entry point, importers, kind of file, size and age."""
+    fan = imports.groupBy(F.col("target").alias("path")).agg(F.countDistinct("source").alias("importers"))
+    far = depths.agg((F.coalesce(F.max("depth"), F.lit(-1)) + 1).alias("far"))
+    d, n = F.coalesce("depth", "far"), F.coalesce("importers", F.lit(0))
+    near = F.greatest(F.lit(0), 30 - 5 * d)
+    used = F.when(n >= 10, 25).when(n >= 5, 20).when(n >= 3, 15).when(n >= 1, 10).otherwise(0)
+    lines = F.col("lines")
+    size = F.when(lines > 500, 10).when(lines > 200, 7).when(lines > 50, 4).when(lines < 20, -5).otherwise(0)
+    age = F.floor((F.unix_seconds(now) - F.unix_seconds("modified")) / 86400)
+    fresh = F.when(F.col("modified").isNull(), 0).when(age < 7, 10).when(age < 30, 7).when(age < 90, 4).when(age < 180, 2).otherwise(0)
+    ext = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
+    kind = F.when(ext.isin(".md", ".mdx"), 15).when(ext == ".sql", 28).otherwise(0)
+    score = F.least(F.lit(100), F.greatest(F.lit(0), near + used + kind + size + fresh)).cast("int")
+    band = F.when(F.col("score") >= 65, "deep").when(F.col("score") >= 40, "medium").when(F.col("score") >= 20, "light").otherwise("skip")
+    rows = files.join(fan, "path", "left").join(depths.withColumnRenamed("id", "path"), "path", "left").crossJoin(F.broadcast(far))  # one row
+    return rows.select("path", score.alias("score")).withColumn("band", band)

@@ -22,9 +22,15 @@ def query(oracle: str | None = None):
     return put
 
 
+def _load() -> None:
+    from . import change_queries, entry_queries, graph_queries, search_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
