@@ -117,7 +117,7 @@ def is_machine_made(prompt: Column) -> Column:
     any_of = lambda col, parts: F.array_max(F.array(*(col.contains(p) for p in parts)))
     lines = F.split(prompt, "\n")
     log_like = F.filter(
-        F.transform(lines, F.ltrim),
+        F.transform(lines, lambda t: F.ltrim(t)),
         lambda t: (F.length(t) >= 10)
         & (t.rlike(r"^(at |\[|.?(ERROR|WARN|INFO|DEBUG|TRACE))") | (F.length(F.regexp_replace(F.substring(t, 1, 10), "[^0-9]", "")) >= 6)),
     )
