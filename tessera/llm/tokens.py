@@ -20,6 +20,8 @@ _PIECES = {
     "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "word": r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
 }
+#: pieces a cache may hold; the word kind's are cheap to encode again and each executor core keeps a cache
+_MOST = {"byte": 1_000_000, "word": 690_000}
 #: any character outside these is left to the library: here letters, digits and spaces are beyond doubt
 _ODD = {
     "byte": re.compile("[^\t-\r\x20-\x7e\xa1-ɏА-я‐-‧‰-⁞ぁ-ゔァ-ヺ一-龥]"),
@@ -30,38 +32,55 @@ _ODD = {
 class Ids:
     """Texts -> their ids as little-endian unsigned bytes of the given numpy type."""
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u4", most: int = 1_000_000):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4", most: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind, self.dtype, self.most, self.known = kind, dtype, most, {}
+        self.kind, self.dtype, self.most, self.known = kind, dtype, most or _MOST[kind], {}
         self.pieces, self.odd = regex.compile(_PIECES[kind]).findall, _ODD[kind].search
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str], at_once: int = 4000) -> Iterator[tuple[str, bytes]]:
+        """Ids of distinct pieces: the word kind takes many in one call, apart by a space, which it drops."""
+        if self.kind != "word":
+            yield from zip(new, self._whole(new), strict=True)
+            return
+        for a in range(0, len(new), at_once):
+            part = new[a : a + at_once]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, words = np.array(found.ids, self.dtype), np.array(found.word_ids)
+            if words[-1] != len(part) - 1:
+                yield from zip(part, self._whole(part), strict=True)
+                continue
+            ends = (np.searchsorted(words, np.arange(len(part)), "right") * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            yield from zip(part, (raw[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         split, new = [], set()
         for text in texts:
             if not text:
-                split.append(None)
+                split.append(b"")
             elif self.odd(text):
                 split.append(self._whole([text])[0])
             else:
                 found = self.pieces(text.lower() if self.kind == "word" else text)
                 new.update(found)
                 split.append(found)
-        new = [x for x in new if x not in self.known]
-        fresh = dict(zip(new, self._whole(new), strict=True))
-        if len(self.known) + len(fresh) <= self.most:
-            self.known |= fresh
-            get = self.known.__getitem__
-        else:  # full: what came early is what comes often
-            get = lambda x, a=self.known, b=fresh: a[x] if x in a else b[x]
-        return [b"" if x is None else x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
+        known = self.known
+        fresh = [x for x in new if x not in known]
+        known.update(self._pieces(fresh))
+        get = known.__getitem__
+        out = [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in split]
+        if len(known) > self.most:  # full: what came early is what comes often
+            for x in fresh:
+                del known[x]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
