@@ -1,13 +1,15 @@
 """Exact dedup: a tree-merge of sorted digest runs, in DataFrame functions only.
 
-Each row goes to one of R runs by a hash of its id. A run holds one entry for each digest:
-the smallest id and the number of copies. Rounds then exchange runs: the entries of
-``fan_in`` neighbouring runs meet, sorted, and are merged to one entry for each digest
-with the smallest id, until one run is left. Texts count as equal only if SHA-256, a second
-64-bit hash and the byte length all agree. A digest that a third of all rows carry has at most
-one entry for each run after the first combine, so no key gathers many rows anywhere:
-the way back down joins the last run to the first runs on the digest, and those to
-the rows on (run, digest).
+Each row goes to one of R runs by a hash of its id. A run is written sorted by digest and holds one entry for each
+digest: the smallest id and the number of copies. Then come log2(R) binomial rounds. In round k the runs whose numbers
+differ in bit k exchange halves: entries whose digest has bit k unset meet in the one, the others in the
+other. What meets is merged in digest order, smallest id first: the first entry of each digest stays, and carries
+the copies of all. After the last round every run holds one part of the digests, of all rows.
+
+Texts count as equal only if SHA-256, a second 64-bit hash and the byte length all agree, at every level. A digest
+that a third of all rows carry has at most one entry for each run after the first combine and at most two in a
+merge, so no key gathers many rows anywhere: the way back down joins the last runs to the first ones on the
+digest, and those to the rows on (run, digest).
 """
 
 from __future__ import annotations
@@ -31,19 +33,34 @@ def _runs(df: DataFrame, least: int = 16) -> int:
     return 1 << max(least - 1, parts - 1).bit_length()
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, runs: int | None = None
-) -> DataFrame:
+def merged_runs(runs: DataFrame, n_runs: int) -> DataFrame:
+    """``runs(run, digest, second, n_bytes, keep_id, copies)``, one entry of a digest in a run -> one entry of a digest."""
+    head = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    for k in range(n_runs.bit_length() - 1):
+        bit = F.lit(1 << k)
+        at = (F.col("run") - F.col("run").bitwiseAND(bit)).bitwiseOR(head.bitwiseAND(bit)).cast("int")
+        merge = Window.partitionBy("run", *KEY).orderBy(F.asc_nulls_last("keep_id"))
+        runs = (
+            runs.withColumn("run", at)
+            .withColumn("place", F.row_number().over(merge))
+            .withColumn("copies", F.sum("copies").over(merge.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            .where("place = 1")
+            .drop("place")
+        )
+    return runs
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    Null text is the empty text. A null id sorts after all others: it is kept only if its
+    ``runs`` is a power of two. Null text is the empty text. A null id sorts after all others: it is kept only if its
     group has no other id. Of repeated rows with one id and equal text, one is kept. Other
     columns are ignored, whatever their names. An empty table gives an empty table.
     """
-    bits = fan_in.bit_length() - 1
-    assert fan_in == 1 << bits and bits > 0, "fan_in is a power of two"
     n_runs = runs or _runs(docs)
-    text = normalised(F.col(text_col))
+    if n_runs & (n_runs - 1):
+        raise ValueError("runs is a power of two")
+    text = normalised(F.col(text_col).cast("string"))
     rows = materialize(
         docs.select(F.col(id_col).alias("id"), text.alias("t"))
         .select(
@@ -54,18 +71,9 @@ def exact_dedup(
             F.pmod(F.xxhash64("id"), F.lit(n_runs)).cast("int").alias("run"),
         )
     )
-    first = materialize(rows.groupBy("run", *KEY).agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")))
-    merged, left = first, n_runs
-    while left > 1:
-        left = max(1, left >> bits)
-        merged = (
-            merged.withColumn("run", F.shiftright("run", bits))
-            .repartition("run", *KEY)
-            .sortWithinPartitions("run", *KEY, F.asc_nulls_last("keep_id"))
-            .groupBy("run", *KEY)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-        )
-    known = first.select("run", *KEY).join(merged.drop("run"), KEY)
+    entries = rows.groupBy("run", *KEY).agg(F.min("id").alias("keep_id"), F.count("*").alias("copies"))
+    first = materialize(entries.sortWithinPartitions("run", *KEY))
+    known = first.select("run", *KEY).join(merged_runs(first, n_runs).drop("run"), KEY)
     same = Window.partitionBy("run", *KEY, "id").orderBy(F.lit(1))
     return (
         rows.join(known, ["run", *KEY])
@@ -83,17 +91,18 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Repeated rows with one id and equal text are one document: one of them stays.
+    Rows that share an id but not a text each stay. Repeated rows with one id and equal text are one document: they are
+    cut to one a task before the shuffle, and one of them stays. An empty table gives an empty table.
     """
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.col("__sha"))
     kept = exact_dedup(docs, id_col, text_col).where("kept").withColumnRenamed("text_sha256", "__sha")
     marks = kept.select(key.alias("__key"))
     once = Window.partitionBy("__key").orderBy(F.lit(1))
     return (
-        docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
+        docs.withColumn("__sha", F.sha2(normalised(F.col(text_col).cast("string")), 256))
         .withColumn("__key", key)
-        .join(marks, "__key", "left_semi")
         .withColumn("__nth", F.row_number().over(once))
-        .where("__nth = 1")
+        .where(F.col("__nth") <= 1)
+        .join(marks, "__key", "left_semi")
         .select(*docs.columns)
     )

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 WINDOW, HIDDEN = 64, 8
 NONE = "und"
+#: share of the way from chance (1 / languages) to certainty that a text's best language must reach
+LEAST_LEAD = 0.05
 
 
 def held_out(id_col: str) -> Column:
@@ -158,19 +160,29 @@ def pooled(w: dict, texts: list[bytes], block: int = 4096) -> np.ndarray:
     return total / np.maximum(1, [len(x) for x in texts])[:, None]
 
 
+def sample_rows(rows: DataFrame, fit_docs: int) -> DataFrame:
+    """At most ``fit_docs`` of ``rows(lang, h, ...)`` for each language, those of the smallest hashes.
+
+    A language with many rows is thinned by its count before any of its rows are shuffled, to twice
+    what is asked for; only what is left is ranked, so no task sees a whole language.
+    """
+    # one row for each language, as many as the network has outputs
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    thin = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) / F.lit(2.0**30) * F.col("rows") <= 2 * fit_docs + 64).drop("rows")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    return thin.withColumn("nth", nth).where(F.col("nth") <= fit_docs).drop("nth")
+
+
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs: int = 500, fit_windows: int = 4) -> tuple[list[str], dict] | None:
     """Languages and weights from a sample of the documents that are not held out."""
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     spots = [
         F.expr(f"substring(text, 1 + cast(pmod(xxhash64(id, {k}), greatest(length(text) - {WINDOW // 2}, 1)) as int), {WINDOW})")
         for k in range(fit_windows)
     ]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("out"))
+    usable = rows.where(f"not out and id is not null and lang is not null and lang <> '{NONE}' and text rlike '\\\\p{{L}}'")
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("out"))
-        .where(f"not out and id is not null and lang is not null and lang <> '{NONE}' and text rlike '\\\\p{{L}}'")
-        .withColumn("h", F.xxhash64("id"))
-        .withColumn("nth", nth)
-        .where(F.col("nth") <= fit_docs)
+        sample_rows(usable.withColumn("h", F.xxhash64("id", "text")), fit_docs)
         .select("lang", "h", "id", *(s.alias(f"w{k}") for k, s in enumerate(spots)))
         .collect()
     )
@@ -190,32 +202,37 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs:
     return langs, fit(windows, used, np.array(lang)[keep], len(langs))
 
 
+def _judged(model, raws: pa.Array, most: int = 1_000_000) -> Iterator[tuple[str, float]]:
+    """(language, mean probability) of each text, a bounded number of bytes at a time."""
+    langs, w = model
+    group, size = [], 0
+    for i, raw in enumerate(raws):
+        group.append(raw.as_py() or b"")
+        size += len(group[-1])
+        if size > most or i + 1 == len(raws):
+            p = pooled(w, group)
+            best, score = p.argmax(1), p.max(1)
+            yield from ((langs[k] if s > 0 else NONE, min(1.0, s)) for k, s in zip(best.tolist(), score.tolist(), strict=True))
+            group, size = [], 0
+
+
 def _labeller(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, w = held.value
         for batch in batches:
-            best, score = [], []
-            column, group, size = batch.column(2), [], 0
-            for i in range(batch.num_rows):
-                group.append(column[i].as_py() or b"")
-                size += len(group[-1])
-                if size > 1_000_000 or i + 1 == batch.num_rows:
-                    p = pooled(w, group)
-                    best += p.argmax(1).tolist()
-                    score += p.max(1).tolist()
-                    group, size = [], 0
+            found = list(_judged(held.value, batch.column(2)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1),
-                    pa.array([langs[i] if s > 0 else NONE for i, s in zip(best, score, strict=True)]),
-                    pa.array([min(1.0, s) for s in score], pa.float64()),
-                ],
+                [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=["id", "held_out", "lang_pred", "score"],
             )
 
     return run
 
 
+def _raw(text: Column) -> Column:
+    """The bytes of a text with letters, else null."""
+    return F.when(text.rlike("\\p{L}"), F.encode(text, "utf-8"))
+
+
 def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score (mean probability of that language).
 
@@ -225,11 +242,7 @@ def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows each get a row; other columns are ignored; an empty table gives an empty table.
     """
     model = learn(docs, id_col, text_col, lang_col, **bounds)
-    text = F.col(text_col).cast("string")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"),
-        F.when(text.rlike("\\p{L}"), F.encode(text, "utf-8")).alias("raw"),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), _raw(F.col(text_col).cast("string")).alias("raw"))
     if model is None:
         found = rows.select("id", "held_out", F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"))
     else:
@@ -238,11 +251,36 @@ def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return found.withColumnRenamed("id", id_col)
 
 
-def with_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents in one of the learned languages, with all their columns.
+def _sifter(held, wanted: tuple[str, ...] | None, least_lead: float):
+    """Batches whose last column is the bytes of the text -> the other columns of the rows that stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = 1 / len(held.value[0])
+        least_score = chance + least_lead * (1 - chance)
+        for batch in batches:
+            raws, rest = batch.column(batch.num_columns - 1), batch.columns[:-1]
+            stays = [
+                lang != NONE and score >= least_score and (wanted is None or lang in wanted) for lang, score in _judged(held.value, raws)
+            ]
+            yield pa.RecordBatch.from_arrays(rest, names=batch.schema.names[:-1]).filter(pa.array(stays, pa.bool_()))
+
+    return run
+
+
+def with_known_language(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    wanted: tuple[str, ...] | None = None, least_lead: float = LEAST_LEAD, **bounds,
+) -> DataFrame:
+    """The rows of ``docs`` that the network places in a language, with all their columns, in one pass.
 
-    Rejected is what has no letters to tell a language by; a label is never a reason to go.
+    Each row is judged by its own text: it goes if the text is null or has no letters, if the network can hardly
+    tell its best language from chance (``least_lead``), or if ``wanted`` is given and the best language
+    is not among it. A label is never a reason to go. Repeated ids and rows are judged
+    one by one. With nothing to learn from, rows with letters stay. An empty table gives an empty table.
     """
-    ids = predict_language(docs, id_col, text_col, lang_col).where(f"lang_pred = '{NONE}'")
-    marks = ids.select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(marks, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    model = learn(docs, id_col, text_col, lang_col, **bounds)
+    raw = _raw(F.col(text_col).cast("string"))
+    if model is None:
+        return docs.where(raw.isNotNull())
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select("*", raw.alias("__raw")).mapInArrow(_sifter(held, wanted, least_lead), docs.schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .rows import row_key, text_hash, without
 from .storage import materialize
 
 SEED = 42
@@ -57,15 +58,16 @@ def _fingerprints(width: int):
             found = np.fromiter(
                 (fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["id", "h", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``(id, fp)`` for every row; fp holds the 64 bits as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(width), "id long, fp long")
+    """``(id, h, fp)`` for every row; h is a hash of the text, fp holds the 64 bits as a signed long."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text_hash(text).alias("h"))
+    return rows.mapInArrow(_fingerprints(width), "id long, h long, fp long")
 
 
 def _blocks(max_distance: int) -> list[tuple[int, int]]:
@@ -92,7 +94,9 @@ def _spanning_links(fps: np.ndarray, ids: np.ndarray, max_distance: int) -> list
 def _verify(max_distance: int, small: int = 24):
     """Lists arrive sorted by (list, tile pair); small ones are compared many at a time."""
 
-    def one(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def one(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = np.ascontiguousarray(ids)
+        fps = ids.view(np.uint64)
         turn = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         starts = np.concatenate([[0], turn])
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
@@ -129,23 +133,23 @@ def _verify(max_distance: int, small: int = 24):
             cut = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(1))
             whole = cut[-1] + 1 if len(cut) else 0
             if whole:
-                yield from one(rows[:whole, :3], rows[:whole, 3].view(np.uint64), rows[:whole, 4])
+                yield from one(rows[:whole, :3], rows[:whole, 3])
                 held = [rows[whole:]]
         if held:
             rows = np.concatenate(held)
-            yield from one(rows[:, :3], np.ascontiguousarray(rows[:, 3]).view(np.uint64), rows[:, 4])
+            yield from one(rows[:, :3], rows[:, 3])
 
     return run
 
 
 def fingerprint_links(nodes: DataFrame, max_distance: int = 4, tile: int = 4096) -> DataFrame:
-    """``nodes(fp, node)``, one for each fingerprint -> verified links ``(a, b)`` that span all linked groups."""
+    """``nodes(fp)``, distinct -> verified links ``(a, b)`` between fingerprints that span all linked groups."""
     parts = _blocks(max_distance)
     lists = [
         (F.lit(k) * F.lit(1 << 32) + F.shiftleft(_bits(*parts[i]), parts[j][1]) + _bits(*parts[j]))
         for k, (i, j) in enumerate(combinations(range(len(parts)), 2))
     ]
-    members = nodes.select("fp", "node", F.explode(F.array(*lists)).alias("list"))
+    members = nodes.select("fp", F.explode(F.array(*lists)).alias("list"))
     shared = members.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
@@ -154,7 +158,7 @@ def fingerprint_links(nodes: DataFrame, max_distance: int = 4, tile: int = 4096)
         .withColumn("tiles", tiles)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("list", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "fp", "node")
+        .select("list", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "fp")
     )
     return (
         dealt.repartition("list", "t1", "t2")
@@ -167,6 +171,15 @@ def _bits(shift: int, width: int):
     return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, h, fp)`` of every row and ``(fp, comp)`` of every fingerprint that a row carries."""
+    marks = materialize(fingerprints(docs, id_col, text_col, width))
+    nodes = materialize(marks.select("fp").distinct())
+    found = connected_components(fingerprint_links(nodes, max_distance))
+    groups = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component_id", "fp").alias("comp"))
+    return marks, materialize(groups)
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4
 ) -> DataFrame:
@@ -174,23 +187,31 @@ def simhash_components(
 
     Null, empty and blank texts have the fingerprint zero and link like any other; texts of
     fewer than ``width`` words hash as one shingle. A row without id gets a fingerprint and
-    takes part in no group (component_id null, not kept). Repeated rows with one id each give a row.
-    Other columns are ignored, whatever their names. An empty table gives an empty table.
+    takes part in no group (component_id null, not kept). Repeated ids each give a row and are grouped by their
+    own texts. Other columns are ignored, whatever their names. An empty table gives an empty table.
     """
-    marks = materialize(fingerprints(docs, id_col, text_col, width))
-    nodes = materialize(marks.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
-    found = connected_components(fingerprint_links(nodes, max_distance))
-    heads = nodes.join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("head"))
-    return marks.join(heads, "fp", "left").select(
+    marks, groups = _grouped(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, max_distance)
+    # fingerprints fold first, so a group's smallest id is a minimum over few rows
+    least = marks.groupBy("fp").agg(F.min("id").alias("id")).join(groups, "fp").groupBy("comp").agg(F.min("id").alias("head"))
+    found = marks.join(groups.join(least, "comp").select("fp", "head"), "fp").select("id", "fp", "head")
+    loose = fingerprints(docs.where(F.col(id_col).isNull()), id_col, text_col, width).select("id", "fp", F.lit(None).cast("long").alias("head"))
+    return found.union(loose).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("id").isNotNull(), F.col("head")).alias("component_id"),
+        F.col("head").alias("component_id"),
         F.coalesce(F.col("id") == F.col("head"), F.lit(False)).alias("kept"),
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its group, with all their columns; rows without id stay."""
-    gone = simhash_components(docs, id_col, text_col, **how).where(f"not kept and {id_col} is not null")
-    marks = gone.select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(marks, F.col(id_col) == F.col("__gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of linked fingerprints, with all its columns: the smallest id.
+
+    A group's rows are told apart by (id, hash of the text), so rows that share an id but not a group
+    each stay; of rows equal in id and text one stays; rows without id all stay. Null texts are empty. An empty table gives an empty table.
+    """
+    marks, groups = _grouped(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, max_distance)
+    first = F.min(F.struct("id", "h")).alias("first")
+    own = marks.groupBy("fp").agg(first).join(groups, "fp").groupBy("comp").agg(F.min("first").alias("first"))
+    held = marks.join(groups.join(own, "comp").select("fp", "first"), "fp")
+    stays = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    return without(docs, held.where(~stays).select(row_key(F.col("id"), F.col("h")).alias("key")), id_col, text_col)

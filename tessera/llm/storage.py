@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folder: str | None = None
+#: tables written by :func:`materialize` in this session, in order
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,16 +36,35 @@ def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    _written.append(path)
     return out
 
 
+def mark() -> int:
+    """A point in the run, for :func:`discard_since`."""
+    return len(_written)
+
+
+def discard_since(point: int, spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete every intermediate table written since ``point`` but ``keep``, once a step's own result is written."""
+    last = getattr(keep, "_tessera_path", None)
+    for path in _written[point:]:
+        if path != last:
+            _delete(spark, path)
+    _written[point:] = [last] if last in _written[point:] else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a table from :func:`materialize` that nothing will read again."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
