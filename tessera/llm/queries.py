@@ -95,7 +95,7 @@ cut AS (SELECT doc_id, pos, line, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*
                generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+'), 1) AS nth FROM laid),
 parts AS (SELECT doc_id, line, part, pos + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, pos ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM cut),
 units AS (
-  SELECT doc_id, pos AS a, least(pos + length(line) + 1, length(text)) AS b, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS unit, 4 AS need
+  SELECT doc_id, pos AS a, least(pos + length(line) + 1, length(text)) AS b, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS unit, 13 AS need
   FROM laid JOIN t USING (doc_id)
   UNION ALL
   SELECT doc_id, pos, pos + length(part), trim(regexp_replace(lower(part), '\s+', ' ', 'g')), 8

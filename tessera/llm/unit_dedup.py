@@ -3,7 +3,8 @@
 Every line of ``line_words`` words and every sentence of ``sentence_words`` words is a unit.
 Units are normalised (lower case, white space collapsed) and hashed to 128 bits; digests
 are grouped over all documents with map-side combining, so a line that a third of all
-documents carry reaches its group as one row a task. The earliest occurrence (document order, then
+documents carry reaches its group as one row a task; the occurrences are then joined to their group on the digest, where
+adaptive execution splits a key of very many rows. The earliest occurrence (document order, then
 offset) stays; every other one is removed from its document, with its span in characters
 of the original text.
 """
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .storage import in_order, materialize, release
 
-LINE_WORDS, SENTENCE_WORDS = 4, 8
+#: a shorter line (a notice, a heading) is common to unrelated documents and is no repeated passage
+LINE_WORDS, SENTENCE_WORDS = 13, 8
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+").finditer
 
 

@@ -6,7 +6,7 @@ def brute(docs):
     for doc, text in docs:
         gone = [False] * len(text)
         # by (start, end), as ranked
-        for a, b, words in sorted(units(text)):
+        for a, b, words in sorted(units(text, 4)):
             if words in seen:
                 gone[a:b] = [True] * (b - a)
             seen.add(words)
@@ -22,7 +22,7 @@ def test_equals_a_plain_loop(spark):
     docs = [(i, f"{LINE}\nown line number {i} of this document\n{LONG}\n{'x ' * (i % 3)}") for i in range(40)]
     docs += [(50, f"  read   THE terms of use before you copy.\nshort\nlead in words here. {LONG.split('. ')[1]} İstanbul"), (51, ""), (52, "\n\n")]
     df = spark.createDataFrame([(t, i, 7, "s") for i, t in docs], "text string, doc_id long, u int, d1 string").repartition(6)
-    found = unit_dedup(df)
+    found = unit_dedup(df, line_words=4)
     assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == brute(docs)
     first = {r.doc_id: r for r in found.collect()}[0]
     assert first.spans == [] and first.n_chars == len(docs[0][1])
@@ -30,6 +30,6 @@ def test_equals_a_plain_loop(spark):
 
 def test_nulls_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, LINE), (1, LINE), (None, LINE), (3, None)], "doc_id long, text string")
-    rows = sorted(((r.doc_id, r.text, r.n_chars) for r in unit_dedup(df).collect()), key=str)
+    rows = sorted(((r.doc_id, r.text, r.n_chars) for r in unit_dedup(df, line_words=4).collect()), key=str)
     assert rows == sorted([(1, LINE, len(LINE)), (1, "", len(LINE)), (None, "", len(LINE)), (3, "", 0)], key=str)
-    assert unit_dedup(df.limit(0)).count() == 0
+    assert unit_dedup(df.limit(0), line_words=4).count() == 0
