@@ -1,8 +1,13 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative per group.
 
 Equal vectors of one label fold into one weighted node first. Centroids are fitted on a
-bounded sample (``fit_rows``); every node is assigned: it lives in its nearest cell and
-visits its ``probes`` nearest ones. Within (label, cell) lists, nodes are dealt into tiles
+bounded sample; every node lives in its nearest cell. It visits its ``probes`` nearest cells and every cell
+whose border is near: a vector within the threshold's angle of x can live in cell c only if x lies no farther
+than the sine of that angle behind the border between its home and c. ``spread`` sets how many standard deviations of a
+link's length along one direction are covered; where that reaches the whole length (few components, or
+``spread=inf``) the search is exact. So a dense group that k-means splits over many cells is still compared as a whole.
+
+Within (label, cell) lists, nodes are dealt into tiles
 and pairs of tiles are compared by matrix products in double precision, so a task holds two tiles
 at most whatever the size of a cell. A pair that two cells could find is counted in one of them
 only. Tasks return link counts and a spanning set of links, never all pairs.
@@ -50,7 +55,20 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -
     return centre
 
 
-def _assigner(centres: dict, probes: int):
+def visits(unit: np.ndarray, centre: np.ndarray, probes: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cell of each unit row, and which cells it visits (rows, cells), its home among them."""
+    score = unit @ centre.T
+    home = score.argmax(1)
+    own = score[np.arange(len(unit)), home]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centre[home] @ centre.T)))
+    seen = own[:, None] - score <= reach * apart
+    n = min(probes, len(centre))
+    np.put_along_axis(seen, np.argpartition(-score, n - 1, axis=1)[:, :n], True, 1)
+    seen[np.arange(len(unit)), home] = True
+    return home, seen
+
+
+def _assigner(centres, probes: int, threshold: float, spread: float, block: int = 512):
     """Rows (node, weight, label, vector) -> one row for each cell the node lives in or visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,29 +77,29 @@ def _assigner(centres: dict, probes: int):
             flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             at = np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                unit = _unit(flat[at[rows][:, None] + np.arange(dim)])
-                centre = centres.value.get(int(dim))
-                near = np.zeros((len(rows), 1), np.int32)
-                if centre is not None:
-                    n = min(probes, len(centre))
-                    score = unit @ centre.T
-                    near = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), 1, kind="stable"), 1).astype(np.int32)
-                taken = pa.array(np.repeat(rows, near.shape[1]))
-                blob = [unit[i].tobytes() for i in range(len(rows))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(2).take(taken),
-                        pa.array(np.full(near.size, dim, np.int32)),
-                        pa.array(near.ravel()),
-                        batch.column(0).take(taken),
-                        batch.column(1).take(taken),
-                        pa.array([x.tobytes() for x in np.repeat(near, near.shape[1], 0)], pa.binary()),
-                        pa.array([b for b in blob for _ in range(near.shape[1])], pa.binary()),
-                    ],
-                    names=["label", "dim", "cell", "node", "weight", "probed", "unit"],
-                )
+                same = np.flatnonzero(sizes == dim)
+                centre = centres.value.get(int(dim), np.zeros((1, dim)))
+                reach = (1 - threshold**2) ** 0.5 * min(1.0, spread / dim**0.5) + 1e-9
+                for rows in np.array_split(same, -(-len(same) // block)):
+                    unit = _unit(flat[at[rows][:, None] + np.arange(dim)])
+                    home, seen = visits(unit, centre, probes, reach)
+                    of, cell = np.nonzero(seen)
+                    taken = pa.array(rows[of])
+                    probed = [np.flatnonzero(x).astype(np.int32).tobytes() for x in seen]
+                    blob = [x.tobytes() for x in unit]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(2).take(taken),
+                            pa.array(np.full(len(of), dim, np.int32)),
+                            pa.array(cell.astype(np.int32)),
+                            batch.column(0).take(taken),
+                            batch.column(1).take(taken),
+                            pa.array(home[of].astype(np.int32)),
+                            pa.array([probed[i] for i in of], pa.binary()),
+                            pa.array([blob[i] for i in of], pa.binary()),
+                        ],
+                        names=["label", "dim", "cell", "node", "weight", "home", "probed", "unit"],
+                    )
 
     return run
 
@@ -92,9 +110,14 @@ def _compare(threshold: float, block: int = 512):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cell, t1, t2 = key[2], key[3], key[4]
         unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
-        probed = np.frombuffer(b"".join(rows["probed"]), np.int32).reshape(len(rows), -1)
-        node, weight, tile = rows["node"].to_numpy(), rows["weight"].to_numpy(), rows["tile"].to_numpy()
-        home = probed[:, 0]
+        node, weight, tile, home = (rows[c].to_numpy() for c in ("node", "weight", "tile", "home"))
+        homes, place = np.unique(home, return_inverse=True)
+        flat = np.frombuffer(b"".join(rows["probed"]), np.int32)
+        owner = np.repeat(np.arange(len(rows)), rows["probed"].map(len).to_numpy() // 4)
+        near = np.minimum(np.searchsorted(homes, flat), len(homes) - 1)
+        known = homes[near] == flat
+        sees = np.zeros((len(rows), len(homes)), bool)
+        sees[owner[known], near[known]] = True
         left = np.flatnonzero(tile == t1)
         right = left if t1 == t2 else np.flatnonzero(tile == t2)
         linked = np.zeros(len(rows), np.int64)
@@ -117,7 +140,7 @@ def _compare(threshold: float, block: int = 512):
             a, b = np.where(home[x] == cell, x, y), np.where(home[x] == cell, y, x)
             far = home[b] != cell
             twice = far & (home[b] < cell)
-            twice[twice] = (probed[a[twice]] == home[b[twice]][:, None]).any(1)
+            twice[twice] = sees[a[twice], place[b[twice]]]
             x, y = x[~twice], y[~twice]
             np.add.at(linked, x, weight[y])
             np.add.at(linked, y, weight[x])
@@ -155,32 +178,38 @@ def embedding_components(
     label_col: str = "label",
     threshold: float = THRESHOLD,
     probes: int = 8,
-    fit_rows: int = 16384,
-    most_cells: int = 2048,
+    spread: float = 4.0,
+    cell_sample: int = 8,
+    most_cells: int = 16384,
+    least_rows: int = 4096,
     tile: int = 2048,
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and their cosine is at least ``threshold``. A vector
     that is null, zero, of null or non-finite components, without label or without id links with
-    nothing and stands alone; so do vectors of different lengths. Repeated rows with one id
-    count as vectors of their own. Other columns are ignored. An empty table gives an empty table.
+    nothing and stands alone; vectors of different lengths never link. Repeated rows with one id
+    count as vectors of their own. Cells number half the root of the vectors of one length, ``most_cells`` at most, and are
+    fitted on ``cell_sample`` vectors for each; a length of fewer than ``least_rows`` vectors is one cell. Other columns are ignored. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     usable = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector")))
     nodes = materialize(usable.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
-    sizes = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(4).collect()}
+    # lengths of few vectors need no cells; of the others there are not many
+    sizes = nodes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).collect()
     centres = {}
-    for dim, n in sizes.items():
-        drawn = nodes.where(F.size("vector") == dim).orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("vector")
-        sample = _unit(np.array([r[0] for r in drawn.collect()], np.float64))
-        centres[dim] = fit_centroids(sample, min(most_cells, int(n**0.5 / 2)))
+    for dim, n in sizes:
+        cells = min(most_cells, int(n**0.5 / 2))
+        share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(2.0**30)
+        drawn = nodes.where((F.size("vector") == dim) & (share * n <= 2 * cell_sample * cells)).orderBy(F.xxhash64("node"), "node").limit(cell_sample * cells)
+        sample = _unit(np.array([r[0] for r in drawn.select("vector").collect()], np.float64))
+        centres[dim] = fit_centroids(sample, cells)
     held = spark.sparkContext.broadcast(centres)
     listed = materialize(
         nodes.select("node", "weight", "label", "vector").mapInArrow(
-            _assigner(held, probes),
-            f"label {dict(nodes.dtypes)['label']}, dim int, cell int, node long, weight long, probed binary, unit binary",
+            _assigner(held, probes, threshold, spread),
+            f"label {dict(nodes.dtypes)['label']}, dim int, cell int, node long, weight long, home int, probed binary, unit binary",
         )
     )
     place = ["label", "dim", "cell"]

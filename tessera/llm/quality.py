@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 WORDS, SHAPES, META = 1 << 20, 1 << 10, 1 << 10
 _RUNS = [(re.compile(p), r) for p, r in ((r"[^\W\d_a-z]*[A-Z][^\W\d_a-z]*", "A"), (r"[^\W\dA_]+", "a"), (r"\d+", "0"))]
 _BARE = re.compile(r"[\W\d_]+")
+#: class of each character below 2^16: bits for upper case, letter, digit, white space
+_CLASS = np.array([c.isupper() | c.isalpha() << 1 | c.isdigit() << 2 | c.isspace() << 3 for c in map(chr, range(1 << 16))], np.uint8)
 _known: dict[str, tuple[int, ...]] = {}
 
 
@@ -40,6 +42,13 @@ def _token(token: str) -> tuple[int, ...]:
     return found
 
 
+def char_counts(text: str) -> list[int]:
+    """Upper-case characters, letters, digits and white space; characters beyond the table are none of them."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.bincount(_CLASS[codes[codes < len(_CLASS)]], minlength=16)
+    return [int(seen[(np.arange(16) & bit) > 0].sum()) for bit in (1, 2, 4, 8)]
+
+
 def features(text: str, meta: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(content, metadata): sorted bucket numbers of one document."""
     tokens = text.split()
@@ -47,7 +56,7 @@ def features(text: str, meta: list[str | None]) -> tuple[np.ndarray, np.ndarray]
     content = {i for t in distinct for i in _token(t)}
     n, lines = max(1, len(text)), text.count("\n") + 1
     tenth = lambda part, whole: min(10, int(10 * part / max(1, whole)))
-    upper, alpha, digit, space = (sum(map(f, text)) for f in (str.isupper, str.isalpha, str.isdigit, str.isspace))
+    upper, alpha, digit, space = char_counts(text)
     facts = [*meta, n.bit_length(), lines.bit_length(), (n // lines).bit_length(), tenth(upper, alpha), tenth(digit, n),
              tenth(4 * (n - alpha - digit - space), n), tenth(len(distinct), len(tokens)), tenth(2 * space, n)]
     return np.array(sorted(content), np.int32), np.array(sorted({crc32(f"{i}={x}".encode()) % META for i, x in enumerate(facts)}), np.int32)
@@ -179,7 +188,10 @@ def learn(rows: DataFrame, labels: DataFrame, id_col: str, targets: tuple[str, .
     free = ids.join(marks, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(pool_rows)
     drawn = marked.unionByName(free, allowMissingColumns=True)
     # at most fit_rows + pool_rows ids, so the broadcast has a fixed bound
-    seen = rows.join(F.broadcast(drawn.select("id")), "id").select("id", "text", "meta").mapInArrow(_featured(), "id long, content binary, meta binary")
+    # an id that repeats is learned from once, by its least text hash
+    least = F.min_by(F.struct("text", "meta"), F.xxhash64("text", "meta")).alias("row")
+    single = rows.join(F.broadcast(drawn.select("id")), "id").groupBy("id").agg(least).select("id", "row.*")
+    seen = single.mapInArrow(_featured(), "id long, content binary, meta binary")
     y = {r["id"]: r for r in marked.collect()}
     found = sorted(seen.collect(), key=lambda r: (r["id"], r["content"]))
     array = lambda b: np.frombuffer(b, np.int32)

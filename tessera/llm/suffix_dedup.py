@@ -8,14 +8,17 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier.
    occurs once has no repeated window; a segment whose bytes all occur earlier repeats as a
    whole; what is left, first occurrences of differing segments round one anchor, stays open.
 2. Prefix doubling. Positions of open segments start with the ranks of their first
-   quarter and of the quarter after it. Spark sorts the rank pairs; equal pairs take one new
-   rank, unique ones drop out; ranks at twice the offset then form the next pairs,
+   seed (a quarter of ``length``) and of the seed after it. Spark sorts the rank pairs; equal pairs take one new
+   rank, unique ones drop out; ranks at the offset reached then form the next pairs, and so on
    until a rank stands for ``length`` bytes. All but the first position of a rank repeat.
+
+What step 1 decides by itself are whole segments equal in two 64-bit hashes (anchor and bytes); seeds are 64-bit hashes
+too, and no byte is compared again.
 3. Starts are merged to spans document by document, and the spans are cut out.
 
 An anchor that many open segments share is dealt out by segment, so no key is hot in step
 1; in step 2 a key is one string and its copies have been folded before. Only the filter, the
-quarter ranks and the cutting are numpy inside tasks; Spark deals, sorts and joins.
+seed ranks and the cutting are numpy inside tasks; Spark deals, sorts and joins.
 """
 
 from __future__ import annotations
@@ -117,7 +120,14 @@ _ENTRY = (("key", "<u8"), ("seg", "<u8"), ("u", "<i8"), ("lo", "<u4"), ("n", "<u
 
 
 def _pack(rows: dict[str, np.ndarray], pick: np.ndarray) -> bytes:
-    return b"".join(rows[k][pick].astype(t).tobytes() for k, t in _ENTRY)
+    """Columns of entries by u and place; byte by byte, and documents as differences, so that the shuffle's compression finds the zeros."""
+    parts = []
+    for k, t in _ENTRY:
+        x = rows[k][pick].astype(t)
+        if k == "u":
+            x = np.diff(x, prepend=x.dtype.type(0))
+        parts.append(x.tobytes() if k in ("key", "seg") else x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return b"".join(parts)
 
 
 def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -126,8 +136,11 @@ def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
     for blob in blobs:
         n, at = len(blob) // width, 0
         for k, t in _ENTRY:
-            parts[k].append(np.frombuffer(blob, t, n, at))
-            at += n * np.dtype(t).itemsize
+            size = np.dtype(t).itemsize
+            x = np.frombuffer(blob, np.uint8, n * size, at)
+            x = (x if k in ("key", "seg") else np.ascontiguousarray(x.reshape(size, n).T).ravel()).view(t)
+            parts[k].append(np.cumsum(x) if k == "u" else x)
+            at += n * size
     return {k: np.concatenate(v) for k, v in parts.items()}
 
 
@@ -213,22 +226,33 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(held)
 
 
-def _quarters(length: int):
-    """Texts with open windows -> (r1, r2, u, at): both quarter ranks of every place that the doubling needs."""
-    quarter, half = length // 4, length // 2
+def doubling_steps(length: int, seed: int) -> tuple[list[int], list[int]]:
+    """Offsets at which ranks of 2 * seed bytes grow to ranks of ``length``, and the places after a start that this needs."""
+    reach, steps, places = 2 * seed, [], {0}
+    while reach < length:
+        steps.append(min(reach, length - reach))
+        reach += steps[-1]
+    for step in reversed(steps):
+        places |= {x + step for x in places}
+    return steps, sorted(places)
+
+
+def _seeds(seed: int, shifts: list[int]):
+    """Texts with open windows -> (r1, r2, u, at): the ranks of the first two seeds of every place that the doubling needs."""
+    both = 2 * seed
 
     def places(u: int, raw: bytes, lo: np.ndarray, n: np.ndarray) -> Iterator[list[np.ndarray]]:
         mark = np.zeros(len(raw) + 1, np.int32)
-        for shift in (0, half):
+        for shift in shifts:
             np.add.at(mark, lo + shift, 1)
             np.add.at(mark, lo + n + shift, -1)
         wanted = np.cumsum(mark[:-1]) > 0
-        step = _CHUNK - half
-        for base in range(0, len(raw) - half + 1, step):
-            at = np.flatnonzero(wanted[base : min(base + step, len(raw) - half + 1)])
+        step = _CHUNK - both
+        for base in range(0, len(raw) - both + 1, step):
+            at = np.flatnonzero(wanted[base : min(base + step, len(raw) - both + 1)])
             if len(at):
-                ranks = Hashes(raw[base : base + _CHUNK]).every(quarter).view(np.int64)
-                yield [ranks[at], ranks[at + quarter], np.full(len(at), u), (at + base).astype(np.int32)]
+                ranks = Hashes(raw[base : base + _CHUNK]).every(seed).view(np.int64)
+                yield [ranks[at], ranks[at + seed], np.full(len(at), u), (at + base).astype(np.int32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
@@ -365,17 +389,19 @@ def _cut_out(length: int):
 
 
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, group_bytes: int = 16 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, seed: int | None = None, group_bytes: int = 16 << 20
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, spans, kept_sha256.
 
     ``spans`` are the removed runs [start, end) in bytes of the original text; the hash is that of the
     bytes left. Null text is empty. Documents are ordered by id, null last, then by text; of repeated
     rows each is a document of its own, so the second of two equal ones goes as a whole if it has
-    ``length`` bytes. Other columns are ignored; an empty table gives an empty table.
+    ``length`` bytes. Other columns are ignored; an empty table gives an empty table. ``seed`` is the length of the
+    strings whose ranks the doubling starts from (64-bit hashes; a quarter of ``length`` unless given).
     """
-    if length < 8 or length % 4:
-        raise ValueError("length is a multiple of four, eight at least")
+    seed = seed or length // 4
+    if length < 8 or not 0 < 2 * seed <= length:
+        raise ValueError("length is eight at least, and two seeds fit into it")
     spark = docs.sparkSession
     gram = max(length // 4, int(length * GRAM_SHARE))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -390,11 +416,15 @@ def repeated_spans(
     )
     release(spark)
     todo = judged.where("open").groupBy("u").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    first = texts.select("u", "raw").join(todo.hint("shuffle_hash"), "u").mapInArrow(_quarters(length), "r1 long, r2 long, u long, at int")
-    ranked = materialize(_sorted_pairs(first).mapInArrow(_rerank, "u long, at int, rank long"), "zstd")
-    release(spark)
-    half = ranked.repartition("u").sortWithinPartitions("u", "at").mapInArrow(_doubled(length // 2), "r1 long, r2 long, u long, at int")
-    later = materialize(_sorted_pairs(half).mapInArrow(_later, "u long, lo int, n int"), "zstd")
+    steps, shifts = doubling_steps(length, seed)
+    pair = "r1 long, r2 long, u long, at int"
+    pairs, ranked = texts.select("u", "raw").join(todo.hint("shuffle_hash"), "u").mapInArrow(_seeds(seed, shifts), pair), None
+    for step in steps:
+        before, ranked = ranked, materialize(_sorted_pairs(pairs).mapInArrow(_rerank, "u long, at int, rank long"), "zstd")
+        discard(before)
+        release(spark)
+        pairs = ranked.repartition("u").sortWithinPartitions("u", "at").mapInArrow(_doubled(step), pair)
+    later = materialize(_sorted_pairs(pairs).mapInArrow(_later, "u long, lo int, n int"), "zstd")
     discard(ranked)
     release(spark)
     starts = judged.where("not open").select("u", "lo", "n").union(later)

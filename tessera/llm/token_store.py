@@ -7,7 +7,7 @@ keys in order. A lookup hashes the key, probes one bit on each level until one i
 takes the bit's rank as slot, compares the stored fingerprint and reads the ids at the
 record's offset: constant expected time, no search.
 
-A key is (doc_id, occurrence): repeated ids are numbered, so keys are unique. Files are written
+A key is (doc_id, occurrence): repeated ids are numbered within a shard, so its keys are unique. Files are written
 under a name of the attempt and then moved in place, so a task that is run again after the loss of an
 executor leaves one whole shard.
 """
@@ -192,6 +192,7 @@ def _writer(folder: str, tokenizer: str, kind: str, dtype: str, end_id: int, sha
                 if held >= shard_bytes:
                     yield close()
                     keys, blobs, held, number = [], [], 0, number + 1
+                    last = object()
         if keys:
             yield close()
 
@@ -205,11 +206,13 @@ def write_shards(
     """Write all documents' ids below ``folder`` in ascending id order; the manifest, one row per shard.
 
     ``first_id`` counts the ids of all shards before. Null ids come first; repeated ids are in order
-    of their texts. Null text is the end id alone. Other columns are ignored; an empty table
+    of a hash of their texts, and may reach over several shards. Null text is the end id alone. Other columns are ignored; an empty table
     writes nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # by text hash within an id, so that null or repeated ids do not meet in one task
+    place = [F.col("id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place, "text")
     written = materialize(
         ordered.mapInArrow(
             _writer(folder, tokenizer, kind, narrowest(tokenizer), end_id, shard_bytes), "worker int, number int, path string, n_docs long, n_ids long"

@@ -3,8 +3,9 @@
 Both kinds of tokenizer split a text by a fixed pattern before merging, and merge each piece
 for itself. Texts of common scripts are therefore split here by the same pattern, every
 distinct piece is encoded by the library, and a bounded cache keeps the ids of pieces
-between texts. Any other text (rare scripts, combining marks, unusual white space) goes to the
-library whole. Strings of special tokens count as ordinary text.
+between texts. Any other text (rare scripts, combining marks, unusual white space, strings of special tokens)
+goes to the library whole. Ids are those of the library's own default: the string of a special token in a text becomes
+that token. With ``special_as_text`` such strings are ordinary text instead.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ _ODD = {
 class Ids:
     """Texts -> their ids as little-endian unsigned bytes of the given numpy type."""
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u4", most: int | None = None):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4", most: int | None = None, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        self.special = [x.content.lower() for x in self.library.get_added_tokens_decoder().values()]
         self.kind, self.dtype, self.most, self.known = kind, dtype, most or _MOST[kind], {}
         self.pieces, self.odd = regex.compile(_PIECES[kind]).findall, _ODD[kind].search
 
@@ -66,10 +68,12 @@ class Ids:
         for text in texts:
             if not text:
                 split.append(b"")
-            elif self.odd(text):
+                continue
+            low = text.lower()
+            if self.odd(text) or any(x in low for x in self.special):
                 split.append(self._whole([text])[0])
             else:
-                found = self.pieces(text.lower() if self.kind == "word" else text)
+                found = self.pieces(low if self.kind == "word" else text)
                 new.update(found)
                 split.append(found)
         known = self.known
