@@ -7,15 +7,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import STOPWORDS
+
 # fixed values: the kinds in the order in which they are tried, their confidence, and the parts of
-# which one must occur ("a+b" asks for both)
+# which one must occur (a tuple asks for all of its parts)
 KINDS = (
     ("architecture", 0.90, ("architecture", "structure", "organized")),
     ("entry-points", 0.92, ("entry point", "main entry", "starts from")),
-    ("differentiation", 0.88, ("different from", "what makes+different")),
-    ("bug-history", 0.80, ("bug", "issue+fix", "problem+fix")),
+    ("differentiation", 0.88, ("different from", ("what makes", "different"))),
+    ("bug-history", 0.80, ("bug", ("issue", "fix"), ("problem", "fix"))),
     ("decision", 0.85, ("why did", "decision", "chose", "rationale")),
-    ("auth", 0.88, ("auth", "login", "jwt", "session+token")),
+    ("auth", 0.88, ("auth", "login", "jwt", ("session", "token"))),
     ("flow", 0.82, ("how does", "how do", "flow", "process")),
     ("pattern", 0.80, ("pattern", "convention", "approach")),
     ("tech-debt", 0.85, ("tech debt", "todo", "technical debt", "refactor")),
@@ -30,8 +32,8 @@ KINDS = (
 )
 
 
-def _any(q: Column, parts: tuple[str, ...]) -> Column:
-    both = [reduce(Column.__and__, (q.contains(x) for x in part.split("+"))) for part in parts]
+def _any(q: Column, parts: tuple[str | tuple[str, ...], ...]) -> Column:
+    both = [reduce(Column.__and__, (q.contains(x) for x in ((part,) if isinstance(part, str) else part))) for part in parts]
     return reduce(Column.__or__, both)
 
 
@@ -76,3 +78,9 @@ def grade(answered: Column, confidence: Column, cited: Column, expected: Column,
 
 def letter(score: Column) -> Column:
     return F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
+
+
+def question_terms(question: Column) -> Column:
+    """Words of a question longer than two bytes without stop words, marks at their ends removed."""
+    bare = F.transform(F.split(F.lower(F.coalesce(question, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~w.isin(*STOPWORDS))

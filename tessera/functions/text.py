@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 # fixed values: words that carry no signal in a search
 STOPWORDS = (
-    "a about after all also am an and any are as at back be because been before being but by can could did do does "
-    "doing done for from had has have having he her here him his how i if in into is it its just let like may me might "
-    "much must my need no not now of off on once one only or our out over please put said same see shall she should so "
-    "some still such sure tell than that the their them then there these they thing things this those through to too "
-    "under up us very want was way we were what when where which while who whom why will with would yes you your"
-).split()
+    "a", "about", "after", "all", "also", "am", "an", "and", "any", "are", "as", "at", "back", "be", "because",
+    "been", "before", "being", "but", "by", "can", "could", "did", "do", "does", "doing", "done", "for", "from",
+    "had", "has", "have", "having", "he", "her", "here", "him", "his", "how", "i", "if", "in", "into", "is", "it",
+    "its", "just", "let", "like", "may", "me", "might", "much", "must", "my", "need", "no", "not", "now", "of", "off",
+    "on", "once", "one", "only", "or", "our", "out", "over", "please", "put", "said", "same", "see", "shall", "she",
+    "should", "so", "some", "still", "such", "sure", "tell", "than", "that", "the", "their", "them", "then", "there",
+    "these", "they", "thing", "things", "this", "those", "through", "to", "too", "under", "up", "us", "very", "want",
+    "was", "way", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with",
+    "would", "yes", "you", "your",
+)
 MAX_TERMS = 12
 
 
@@ -67,7 +71,8 @@ def confidence_of(preset: Column) -> Column:
     """A named level or a number, clamped to [0, 1]; anything else is 0.9."""
     name = F.lower(F.trim(preset))
     known = F.when(name == "verified", 1.0).when(name == "observed", 0.9).when(name == "inferred", 0.7).when(name == "speculative", 0.4)
-    return F.coalesce(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), name.try_cast("double"))), F.lit(0.9))
+    number = name.try_cast("double")
+    return F.coalesce(known, F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))), F.lit(0.9))
 
 
 def tag_value(tags: Column, prefix: str) -> Column:
@@ -80,20 +85,44 @@ def words_of(text: Column) -> Column:
 
 
 def search_terms(question: Column) -> Column:
-    """Distinct words of two characters or more without stop words, the first twelve, in order."""
-    keep = F.filter(F.array_distinct(words_of(question)), lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS))
-    return F.slice(keep, 1, MAX_TERMS)
+    """At most twelve distinct terms: quoted phrases of more than one word, then words of two characters or more without stop words.
+
+    Words of a quoted phrase are no terms of their own.
+    """
+    loose = F.regexp_replace(question, r'"[^"]*[^"\p{L}\p{N}_]+[^"]*"', " ")
+    keep = F.filter(F.array_distinct(words_of(loose)), lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
+    return F.slice(F.array_distinct(F.concat(search_phrases(question), keep)), 1, MAX_TERMS)
 
 
 def search_phrases(question: Column) -> Column:
     """Quoted parts of more than one word, cleaned of marks."""
-    quoted = F.regexp_extract_all(F.lower(question), F.lit('"([^"]*)"'), 1)
+    quoted = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit('"([^"]*)"'), 1)
     clean = F.transform(quoted, lambda p: F.trim(F.regexp_replace(p, r"[^\p{L}\p{N}_]+", " ")))
     return F.filter(clean, lambda p: p.contains(" "))
 
 
+def identifiers(prompt: Column, most: int = 4) -> Column:
+    """The first words of five characters or more in snake case or mixed case; all capitals are no name."""
+    words = F.regexp_extract_all(F.coalesce(prompt, F.lit("")), F.lit("([A-Za-z0-9_]+)"), 1)
+    mixed = lambda w: w.rlike("[A-Za-z]") & (w.contains("_") | (w.rlike("[a-z]") & w.rlike("^.+[A-Z]")))
+    return F.slice(F.filter(words, lambda w: (F.length(w) >= 5) & mixed(w)), 1, most)
+
+
+def hint_token(pattern: Column) -> Column:
+    """The longest run of letters, digits and underscores, the first of equals; null if shorter than four or without letter."""
+    runs = F.regexp_extract_all(F.coalesce(pattern, F.lit("")), F.lit("([A-Za-z0-9_]+)"), 1)
+    longest = F.aggregate(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
+    return F.when((F.length(longest) >= 4) & longest.rlike("[A-Za-z]"), longest)
+
+
+def freshness(base_head: Column, base_dirty: Column, head: Column, dirty: Column) -> Column:
+    """fresh, stale or unknown from what was recorded at index time and what is there now."""
+    unknown = base_head.isNull() | (base_head == "no-git") | (F.coalesce(base_dirty, F.lit("")) == "") | head.isNull() | dirty.isNull()
+    return F.when(unknown, "unknown").when((base_head != head) | (base_dirty != dirty), "stale").otherwise("fresh")
+
+
 def marker_of(line: Column) -> Column:
-    """The debt marker that a comment line starts with, or null."""
+    """The debt marker that a comment line starts with, or null; for whole files see ``debt_of``."""
     return F.nullif(F.regexp_extract(F.upper(line), r"^\s*(?://+|#+|--|\*|/\*)\s*(TODO|FIXME|HACK|XXX|OPTIMIZE|BUG|NOTE)", 1), F.lit(""))
 
 
@@ -124,3 +153,23 @@ def is_machine_made(prompt: Column) -> Column:
     logs = (F.size(lines) > 30) & (F.size(log_like) * 100 > F.size(lines) * 80)
     block = F.exists(lines, lambda x: F.trim(x).rlike(r"^<[A-Za-z].*>$")) | any_of(prompt, ('":', ": {", ":{"))
     return F.coalesce(any_of(low, MACHINE_MARKS) | logs | (any_of(F.substring(low, 1, 80), ORDERS) & block), F.lit(False))
+
+
+def debt_of(source: Column, path: Column) -> Column:
+    """Array of (line from 1, marker, text) of the debt markers in a file's comments.
+
+    A comment is a line that starts as one, or what follows ``//`` or ``#`` outside quotes; in markdown only
+    ``<!-- -->`` counts.
+    """
+    lines = F.split(F.coalesce(source, F.lit("")), "\r?\n")
+    # quoted parts are blanked at equal length before a trailing comment is looked for
+    bare = lambda s: F.regexp_replace(s, r"""("(?:[^"\\\\]|\\\\.)*"|'(?:[^'\\\\]|\\\\.)*')""", "")
+    code = lambda s: F.when(s.rlike(r"^\s*(//|#|--|\*|/\*)"), F.regexp_replace(s, r"^\s*(//+|#+|--|\*|/\*)", "")).otherwise(F.regexp_extract(bare(s), r"(?://|#)(.*)$", 1))
+    prose = lambda s: F.regexp_extract(s, r"<!--(.*?)-->", 1)
+    markdown = F.lower(path).rlike(r"\.mdx?$")
+    said = F.when(markdown, F.transform(lines, prose)).otherwise(F.transform(lines, code))
+    mark = r"(?i)^\s*(TODO|FIXME|HACK|XXX|OPTIMIZE|BUG|NOTE)\b[:\s(-]*(.*)$"
+    found = F.transform(
+        said, lambda s, i: F.struct((i + 1).alias("line"), F.upper(F.regexp_extract(s, mark, 1)).alias("marker"), F.trim(F.regexp_extract(s, mark, 2)).alias("text"))
+    )
+    return F.filter(found, lambda x: x["marker"] != "")

@@ -86,19 +86,28 @@ def saved(batch: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     same = Window.partitionBy("namespace", "hash").orderBy(*order)
     rows = old.union(new).withColumn("copy", F.row_number().over(same) > 1)
     before = Window.partitionBy("namespace", "topic_key").orderBy(*order)
-    kept = rows.where((F.col("batch") == 0) | ~F.col("copy")).withColumn("supersedes", F.when(F.col("topic_key").isNotNull(), F.lag("id").over(before)))
-    written = kept.where("batch = 1").select("id", F.when(F.col("supersedes").isNull(), "created").otherwise("updated").alias("action"), "supersedes")
-    return written.union(rows.where("batch = 1 and copy").select("id", F.lit("duplicate"), F.lit(None).cast(written.schema["supersedes"].dataType)))
+    kept = rows.where((F.col("batch") == 0) | ~F.col("copy"))
+    # only rows with a key can supersede: the others never meet in a window
+    keyed = kept.where("topic_key is not null").withColumn("supersedes", F.lag("id").over(before)).where("batch = 1")
+    written = keyed.select("id", F.when(F.col("supersedes").isNull(), "created").otherwise("updated").alias("action"), "supersedes")
+    none = F.lit(None).cast(written.schema["supersedes"].dataType)
+    loose = kept.where("topic_key is null and batch = 1").select("id", F.lit("created"), none)
+    return written.union(loose).union(rows.where("batch = 1 and copy").select("id", F.lit("duplicate"), none))
 
 
 def patched(entries: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """Rows with the patch's non-null title, content, layer and access_count; updated_at moves where a patch exists."""
-    fields = [c for c in ("title", "content", "layer", "access_count") if c in patches.columns]
+    """Rows with the patch's non-null title, content, tags, layer, access_count and last_accessed_at.
+
+    updated_at moves where a patch exists, and the stored hash follows title and content.
+    """
+    fields = [c for c in ("title", "content", "tags", "layer", "access_count", "last_accessed_at") if c in patches.columns and c in entries.columns]
     p = patches.select("id", *(F.col(c).alias(f"new_{c}") for c in fields), F.lit(True).alias("hit"))
     out = entries.join(p, "id", "left")
     for c in fields:
         out = out.withColumn(c, F.coalesce(f"new_{c}", c))
     out = out.withColumn("updated_at", F.when(F.col("hit"), now).otherwise(F.col("updated_at")))
+    if "content_hash" in entries.columns:
+        out = out.withColumn("content_hash", F.when(F.col("hit"), content_hash(F.col("title"), F.col("content"))).otherwise(F.col("content_hash")))
     return out.select(*entries.columns)
 
 
@@ -119,9 +128,19 @@ def deleted(entries: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return marked.withColumn("deleted_at", F.when(F.col("hit"), F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at"))).select(*entries.columns)
 
 
-def namespaces_merged(entries: DataFrame, source: str, target: str) -> DataFrame:
-    move = (F.col("namespace") == source) & F.col("deleted_at").isNull()
-    return entries.withColumn("namespace", F.when(move, F.lit(target)).otherwise(F.col("namespace")))
+def namespaces_merged(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """Live entries, or all sessions (rows without tombstones), of one namespace in another; the same name changes nothing."""
+    here = F.col("namespace") == source
+    move = here & F.col("deleted_at").isNull() if "deleted_at" in rows.columns else here
+    return rows.withColumn("namespace", F.when(move, F.lit(target)).otherwise(F.col("namespace")))
+
+
+def merge_preview(entries: DataFrame, sessions: DataFrame, source: str, target: str) -> DataFrame:
+    """(namespace, entries, sessions) that a merge of the two namespaces would touch."""
+    both = F.col("namespace").isin(source, target)
+    a = live(entries).where(both).groupBy("namespace").agg(F.count("*").alias("entries"))
+    b = sessions.where(both).groupBy("namespace").agg(F.count("*").alias("sessions"))
+    return a.join(b, "namespace", "full_outer").select("namespace", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "sessions")))
 
 
 def next_layer(now: Column) -> Column:
@@ -148,19 +167,17 @@ def transitions(entries: DataFrame, now: Column, newest: int | None = 500) -> Da
 
 
 def duplicate_groups(entries: DataFrame) -> DataFrame:
-    """Live rows that share (namespace, hash) with another one, with the size of their group.
+    """Live rows that share (namespace, hash) with another one, with their group's size and the row to keep.
 
-    Group sizes are aggregated with map-side combining and joined back, so a hash that very many rows
-    carry is summed before it is shuffled and the join can split it.
+    Most used, verified, newest stays. Both are aggregated with map-side combining in one pass and joined back, so a
+    hash that very many rows carry is combined before it is shuffled and the join can split it.
     """
     rows = live(entries).withColumn("hash", content_hash(F.col("title"), F.col("content")))
-    groups = rows.groupBy("namespace", "hash").agg(F.count("*").alias("copies")).where("copies > 1")
+    rank = F.struct("access_count", "verified", "created_at", (-F.col("id")).alias("down"))
+    groups = rows.groupBy("namespace", "hash").agg(F.count("*").alias("copies"), F.max_by("id", rank).alias("keep_id")).where("copies > 1")
     return rows.join(groups, ["namespace", "hash"])
 
 
 def keepers(entries: DataFrame) -> DataFrame:
-    """(id, keep_id) of every row in a duplicate group: most used, verified, newest stays."""
-    groups = duplicate_groups(entries)
-    rank = F.struct("access_count", "verified", "created_at", (-F.col("id")).alias("down"))
-    best = groups.groupBy("namespace", "hash").agg(F.max_by("id", rank).alias("keep_id"))
-    return groups.join(best, ["namespace", "hash"]).select("id", "keep_id")
+    """(id, keep_id) of every row in a duplicate group."""
+    return duplicate_groups(entries).select("id", "keep_id")

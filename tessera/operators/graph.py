@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import name_tokens
+from tessera.sources.shared import written
+
+from .search import bm25
+from .stats import top_and_rest
+
 
 def fan_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(id)``, ``edges(source, target)`` -> call sites and distinct callers and callees of every node."""
@@ -17,21 +25,125 @@ def fan_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     """Breadth-first depths (id, depth) of what the seeds reach in at most ``max_depth`` steps.
 
-    One join and one anti-join a step; the frontier is distinct, so a hub is entered once. Every step's result is
-    a checkpoint where the session has a checkpoint folder, so plans do not grow.
+    One join and one anti-join a step; the frontier is distinct, so a hub is entered once. Every step's frontier is
+    written, so no step is computed twice and plans do not grow.
     """
-    links = edges.select(F.col("source").alias("from"), F.col("target").alias("id")).distinct()
+    links = written(edges.select(F.col("source").alias("from"), F.col("target").alias("id")).distinct())
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     front = seen
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d)
     for depth in range(1, max_depth + 1):
         found = front.select(F.col("id").alias("from")).join(links, "from").select("id").distinct()
-        front = cut(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut(seen.union(front))
+        front = written(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.union(front)
     return seen
 
 
+def trace(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, limit: int = 200) -> DataFrame:
+    """(id, depth, truncated) of the nearest ``limit`` nodes around one or more seeds, the seeds left out.
+
+    ``truncated`` where the limit cut the list or the depth bound left a frontier. A step beyond the limit is not walked.
+    """
+    links = written(edges.select(F.col("source").alias("from"), F.col("target").alias("id")).distinct())
+    start = seeds.select("id").distinct()
+    seen, front, n, cut = start.withColumn("depth", F.lit(0)), start, 0, False
+    for depth in range(1, max_depth + 1):
+        found = front.select(F.col("id").alias("from")).join(links, "from").select("id").distinct()
+        front = written(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        more = front.count()
+        n, seen, cut = n + more, seen.union(front), more > 0
+        if n >= limit or not more:
+            break
+    return seen.where("depth > 0").orderBy("depth", "id").limit(limit).withColumn("truncated", F.lit(cut))
+
+
+def neighbours(edges: DataFrame, symbols: DataFrame, asked: DataFrame, direction: str = "callees") -> DataFrame:
+    """(asked, id, qualified_name, line) one hop away from each of ``asked(id)`` over calls, in the order of lines."""
+    own, other = ("source", "target") if direction == "callees" else ("target", "source")
+    calls = edges.where("type = 'CALLS'") if "type" in edges.columns else edges
+    hop = calls.join(asked.select(F.col("id").alias("asked")).distinct(), F.col(own) == F.col("asked"))
+    return hop.select("asked", F.col(other).alias("id"), "line").join(symbols.select("id", "qualified_name"), "id").select("asked", "id", "qualified_name", "line").orderBy("asked", "line", "qualified_name")
+
+
+def all_edges(edges: DataFrame) -> DataFrame:
+    """Every edge of every type, in the order of its ends, type and line."""
+    return edges.orderBy("source", "target", "type", "line")
+
+
+#: fixed values: what a kind of symbol adds to its score in a search
+LABEL_BOOST = (("Function", 10.0), ("Method", 10.0), ("Class", 5.0), ("Trait", 5.0), ("Struct", 5.0), ("Interface", 5.0), ("Enum", 5.0))
+
+
+def symbol_search(symbols: DataFrame, terms: DataFrame, limit: int, label: str | None = None) -> DataFrame:
+    """(question, id, qualified_name, score) of the best symbols by BM25 over the words of their names, plus their label's boost."""
+    rows = symbols.where(F.col("label") == label) if label else symbols
+    found = bm25(symbols, terms, text=name_tokens(F.col("name"))).join(rows.select("id", "label", "qualified_name"), "id")
+    boost = reduce(lambda c, x: c.when(F.col("label") == x[0], x[1]), LABEL_BOOST, F).otherwise(0.0)
+    w = Window.partitionBy("question").orderBy(F.desc("score"), "qualified_name", "id")
+    return found.withColumn("score", F.col("score") + boost).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).select("question", "id", "qualified_name", "score")
+
+
+def ranked_symbols(symbols: DataFrame, by: str, top: int = 14) -> DataFrame:
+    """The symbols with the most of ``by`` (complexity, call sites); ties by name."""
+    return symbols.where(F.col(by) > 0).orderBy(F.desc(by), "name", "id").limit(top)
+
+
+def related_types(relations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``relations(relation_id, file_path, subject, object, kind)`` -> (relation_id, source, target, kind) where both names stand for one symbol.
+
+    A name of the same file comes first, then one that is the only one at all; modules are no types, and nothing relates to itself.
+    """
+    types = symbols.where("label <> 'Module'").select(F.col("id").alias("target"), F.col("name").alias("callee"), "file_path")
+    ends = relations.select("relation_id", "file_path", "kind", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("subject").alias("callee")), F.struct(F.lit(1).alias("end"), F.col("object").alias("callee")))).alias("e"))
+    ends = ends.select("relation_id", "file_path", "kind", "e.end", "e.callee")
+    one = lambda rows, tier: rows.groupBy("relation_id", "kind", "end").agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most").withColumn("tier", F.lit(tier))
+    every = one(ends.join(types, ["callee", "file_path"]), 1).union(one(ends.join(unique_names(types), "callee"), 2))
+    best = every.groupBy("relation_id", "kind", "end").agg(F.min_by("target", "tier").alias("target"))
+    both = best.groupBy("relation_id", "kind").agg(F.max(F.when(F.col("end") == 0, F.col("target"))).alias("source"), F.max(F.when(F.col("end") == 1, F.col("target"))).alias("target"))
+    return both.where("source <> target").select("relation_id", "source", "target", "kind")
+
+
+def qualified_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame, common: tuple[str, ...] = ()) -> DataFrame:
+    """``calls(call_id, file_path, container, qualifier, callee)`` -> (call_id, target, resolution, confidence).
+
+    Tiers in order: a member of the caller's own container (``self``, ``Self``, ``this``); a symbol of the file that an
+    import of the qualifier names; the member of the only container of the qualifier's name; the only member of that
+    name at all, unless the name is a ``common`` one. Each tier is an equi-join that keeps calls with one candidate.
+    """
+    s = symbols.select(F.col("id").alias("target"), F.col("name").alias("callee"), "container", F.col("file_path").alias("symbol_file"))
+    own = calls.where(F.col("qualifier").isin("self", "Self", "this"))
+    path = calls.where(~F.col("qualifier").isin("self", "Self", "this"))
+
+    def only(found: DataFrame, tier: int, name: str, confidence: float) -> DataFrame:
+        one = found.groupBy("call_id").agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most")
+        return one.select("call_id", "target", F.lit(tier).alias("tier"), F.lit(name).alias("resolution"), F.lit(confidence).alias("confidence"))
+
+    named = imports.select("file_path", F.col("local_name").alias("qualifier"), F.col("source").alias("symbol_file"))
+    members = s.where("container is not null").groupBy("container", "callee").agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most").drop("most")
+    loose = unique_names(s.where("container is not null"))
+    tiers = [
+        only(own.join(s.withColumnRenamed("symbol_file", "file_path"), ["file_path", "container", "callee"]), 1, "same_module", 0.90),
+        only(path.drop("container").join(named, ["file_path", "qualifier"]).join(s, ["callee", "symbol_file"]), 2, "import_map", 0.95),
+        only(path.drop("container").join(members.withColumnRenamed("container", "qualifier"), ["qualifier", "callee"]), 3, "unique_name", 0.75),
+        only(path.where(~F.col("callee").isin(*common)).join(loose, "callee"), 4, "suffix", 0.55),
+    ]
+    every = reduce(DataFrame.union, tiers)
+    return every.groupBy("call_id").agg(F.min_by(F.struct("target", "resolution", "confidence"), "tier").alias("x")).select("call_id", "x.*")
+
+
+def unresolved_by_file(calls: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(file_path, unresolved) calls without a target; files without any are left out."""
+    return calls.join(resolved.select("call_id"), "call_id", "left_anti").groupBy("file_path").agg(F.count("*").alias("unresolved"))
+
+
+def view_payload(nodes: DataFrame, edges: DataFrame, files: DataFrame, top: int = 22) -> DataFrame:
+    """(part, key, n) of what a view shows: totals, the largest modules with the rest folded, and nodes by label."""
+    totals = [df.agg(F.count("*").alias("n")).select(F.lit("total").alias("part"), F.lit(name).alias("key"), "n") for name, df in (("nodes", nodes), ("edges", edges), ("files", files))]
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    modules = top_and_rest(files.groupBy(folder.alias("key")).agg(F.count("*").alias("n")), "key", "n", top).select(F.lit("module").alias("part"), "key", "n")
+    labels = nodes.groupBy(F.col("label").alias("key")).agg(F.count("*").alias("n")).select(F.lit("label").alias("part"), "key", "n")
+    return reduce(DataFrame.union, [*totals, modules, labels])
+
+
 def truncated(edges: DataFrame, reached: DataFrame, max_depth: int) -> DataFrame:
     """One row: whether nodes beyond ``max_depth`` remain."""
     front = reached.where(F.col("depth") == max_depth).select(F.col("id").alias("source"))
@@ -100,6 +212,36 @@ def unique_names(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("callee").agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most").drop("most")
 
 
+# fixed values: what a file's path says of its worth, first match wins; S stands for the extensions of scripts
+FILE_KINDS = (
+    (r"(^|/)claude\.md$", 40), (r"(^|/)(readme|agents)\.md$", 30), (r"/phases/.*\.md$", 25), (r"\.mdx?$", 15),
+    (r"(^|/)docker-compose[^/]*\.ya?ml$", 18), (r"(^|/)dockerfile$", 16), (r"(^|/)makefile$", 14), (r"(^|/)\.env\.example$", 14),
+    (r"migration.*\.(sql|xml|json|rb|py|java|cs)$", 28), (r"\.sql$", 28),
+    (r"(^|/)(main|app|server|bootstrap|startup)\.[^./]+$", 25), (r"(^|/)(program|application)\.[^./]+$", 22),
+    (r"\.(spec|test)\.", 5), (r"__(tests?|specs?)__", 3), (r"^(?!.*/util).*/tests?/", 3),
+    (r"\.module\.ts$", 22), (r"\.service\.ts$", 18), (r"\.controller\.ts$", 18), (r"\.entity\.ts$", 22), (r"\.guard\.ts$", 16),
+    (r"\.middleware\.ts$", 16), (r"\.decorator\.ts$", 14), (r"/migrations?/.*S", 25), (r"\.dto\.ts$", 12), (r"\.config\.ts$", 12),
+    (r"\.(schema|model)\.ts$", 20), (r"\.repository\.ts$", 16), (r"\.factory\.ts$", 10), (r"/(storage|adapters?)/.*S", 20), (r"/mcp/.*S", 20),
+    (r"/(crawl|graph|analysis|scoring)/.*S", 18), (r"/(scanner|discovery|bridge)/.*S", 16), (r"(interface|adapter|bridge)[^/]*S", 18),
+    (r"/(pages|app)/.*\.[tj]sx$", 18), (r"/components/.*S", 10), (r"/hooks/.*S", 12), (r"/context/.*S", 14), (r"/store/.*S", 14),
+    (r"/packages/.*/src/index\.ts$", 14), (r"(^|/)index\.[tj]sx?$", -8), (r"/constants?/.*S", 6), (r"/utils?/.*S", 6), (r"/types?/.*S", 8), (r"S", 5),
+    (r"tsconfig\.base\.json$", 20), (r"(^|/)tsconfig[^/]*\.json$", 15), (r"^(?!.*node_modules)(.*/)?package\.json$", 18),
+    (r"(^|/)__init__\.py$", -5), (r"(^|/)(models?|schema)\.py$", 22), (r"(^|/)(views?|routes?|api)\.py$", 18), (r"(^|/)(middleware|decorators?)\.py$", 16),
+    (r"(^|/)(settings?|config)\.py$", 18), (r"(^|/)(serializers?|validators?|tasks?|celery)\.py$", 14), (r"(^|/)(manage|wsgi|asgi)\.py$", 20), (r"\.py$", 5),
+    (r"_test\.go$", 3), (r"handler[^/]*\.go$", 18), (r"router[^/]*\.go$", 20), (r"service[^/]*\.go$", 18), (r"(repository|store)[^/]*\.go$", 20),
+    (r"middleware[^/]*\.go$", 16), (r"\.go$", 5),
+    (r"(^|/)lib\.rs$", 22), (r"(^|/)mod\.rs$", 15), (r"handler[^/]*\.rs$", 18), (r"router[^/]*\.rs$", 20), (r"\.rs$", 5), (r"\.ya?ml$", 10),
+)
+OTHER_KIND = 3
+
+
+def file_kind(path: Column) -> Column:
+    """Points for the kind of a file, by its path in lower case."""
+    low = F.lower(path)
+    rules = ((pattern.replace("S", r"\.([tj]sx?|mjs|cjs)$"), points) for pattern, points in FILE_KINDS)
+    return reduce(lambda c, x: c.when(low.rlike(x[0]), x[1]), rules, F).otherwise(OTHER_KIND)
+
+
 def importance(files: DataFrame, imports: DataFrame, depths: DataFrame, now) -> DataFrame:
     """(path, score, band): closeness to an entry point, importers, kind of file, size and age."""
     fan = imports.groupBy(F.col("target").alias("path")).agg(F.countDistinct("source").alias("importers"))
@@ -111,8 +253,7 @@ def importance(files: DataFrame, imports: DataFrame, depths: DataFrame, now) ->
     size = F.when(lines > 500, 10).when(lines > 200, 7).when(lines > 50, 4).when(lines < 20, -5).otherwise(0)
     age = F.floor((F.unix_seconds(now) - F.unix_seconds("modified")) / 86400)
     fresh = F.when(F.col("modified").isNull(), 0).when(age < 7, 10).when(age < 30, 7).when(age < 90, 4).when(age < 180, 2).otherwise(0)
-    ext = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1)
-    kind = F.when(ext.isin(".md", ".mdx"), 15).when(ext == ".sql", 28).otherwise(0)
+    kind = file_kind(F.col("path").cast("string"))
     score = F.least(F.lit(100), F.greatest(F.lit(0), near + used + kind + size + fresh)).cast("int")
     band = F.when(F.col("score") >= 65, "deep").when(F.col("score") >= 40, "medium").when(F.col("score") >= 20, "light").otherwise("skip")
     rows = files.join(fan, "path", "left").join(depths.withColumnRenamed("id", "path"), "path", "left").crossJoin(F.broadcast(far))  # one row

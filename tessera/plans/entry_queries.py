@@ -40,9 +40,9 @@ def prefix_scan(spark, sf_dir):
     return E.by_prefix(entries(spark, sf_dir), "topic:1").select("id", "topic_key")
 
 
-@query(with_tables("SELECT id, type, created FROM live WHERE namespace = 'src1' AND type = 'note' ORDER BY created DESC, id LIMIT 20 OFFSET 2"))
+@query(with_tables("SELECT id, type, created FROM live WHERE namespace = 'src0' AND type = 'note' ORDER BY created DESC, id LIMIT 20 OFFSET 2"))
 def filtered_page(spark, sf_dir):
-    return E.page(entries(spark, sf_dir), "src1", "note", limit=20, offset=2).select("id", "type", F.unix_seconds("created_at").alias("created"))
+    return E.page(entries(spark, sf_dir), "src0", "note", limit=20, offset=2).select("id", "type", F.unix_seconds("created_at").alias("created"))
 
 
 @query(with_tables("SELECT id FROM live WHERE list_has_all([type, author, source], ['note', 'en'])"))

@@ -27,9 +27,17 @@ SELECT event_id AS id, user_id AS entry_id, event_type AS op_kind, props AS row_
   CASE WHEN event_id % 3 = 0 THEN 1704067200 + event_id END AS claimed, CASE WHEN event_id % 5 = 0 THEN 1704067200 + event_id END AS confirmed
 FROM {events}
 """
-#: parts as callers of suppliers' numbers in one graph of calls
-CALLS = "SELECT l_partkey % 500 AS source, 500 + (l_suppkey * 7 + l_partkey) % 300 AS target, CAST(l_linenumber AS INT) AS line FROM {lineitem}"
-CHAIN = "SELECT DISTINCT l_orderkey % 2000 AS source, l_partkey % 2000 AS target FROM {lineitem} WHERE l_linenumber = 1"
+#: one graph of orders, parts and suppliers; ids of the three are told apart by their remainder
+CALLS = "SELECT l_partkey * 3 + 1 AS source, l_suppkey * 3 + 2 AS target, CAST(l_linenumber AS INT) AS line FROM {lineitem}"
+CHAIN = """SELECT DISTINCT l_orderkey * 3 AS source, l_partkey * 3 + 1 AS target FROM {lineitem} UNION SELECT l_partkey * 3 + 1, l_suppkey * 3 + 2 FROM {lineitem}
+  UNION SELECT l_suppkey * 3 + 2, l_orderkey * 3 FROM {lineitem} WHERE l_linenumber = 7"""
+NODES = "SELECT o_orderkey * 3 AS id FROM {orders} UNION ALL SELECT p_partkey * 3 + 1 FROM {part} UNION ALL SELECT s_suppkey * 3 + 2 FROM {supplier}"
+SESSIONS = """SELECT o_orderkey AS id, concat('src', CAST(o_custkey % 20 AS STRING)) AS namespace,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'active' ELSE 'abandoned' END AS status,
+  CASE WHEN o_orderkey % 3 > 0 THEN concat('goal ', CAST(o_orderkey % 17 AS STRING)) ELSE 'Auto-started session' END AS goal,
+  CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS summary, 1704067200 + (o_orderkey * 7919) % 7776000 AS started FROM {orders}"""
+EDGES = """SELECT doc_id AS from_id, CAST(floor(doc_id / 2) AS BIGINT) AS to_id,
+  CASE doc_id % 3 WHEN 0 THEN 'related' WHEN 1 THEN 'supersedes' ELSE 'supports' END AS type, CAST(doc_id % 10 AS DOUBLE) / 10 AS strength FROM {documents}"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +60,26 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(derived(spark, sf_dir, CHANGES, "events"), created="created_at", claimed="claimed_at", confirmed="confirmed_at")
 
 
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _timed(derived(spark, sf_dir, SESSIONS, "orders"), started="started_at")
+    return rows.withColumn("ended_at", F.lit(None).cast("timestamp"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, EDGES, "documents")
+
+
+def tagged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with tags: their author's language, their source, and the namespace as a file."""
+    return entries(spark, sf_dir).withColumn("tags", F.array("author", "source", F.concat("namespace", F.lit(".rs"))))
+
+
 def now():
     return F.timestamp_seconds(F.lit(NOW))
 
 
 def with_tables(sql: str) -> str:
     """Oracle text: the derived tables as common table expressions in front."""
-    named = {"entries": ENTRIES, "changes": CHANGES, "calls": CALLS, "chain": CHAIN}
-    heads = [f"{k} AS ({v.format(documents='documents', events='events', lineitem='lineitem')})" for k, v in named.items()]
+    named = {"entries": ENTRIES, "changes": CHANGES, "calls": CALLS, "chain": CHAIN, "nodes": NODES, "sessions": SESSIONS, "edges": EDGES}
+    heads = [f"{k} AS ({v.format(documents='documents', events='events', lineitem='lineitem', orders='orders', part='part', supplier='supplier')})" for k, v in named.items()]
     return f"WITH {', '.join(heads)}, live AS (SELECT * FROM entries WHERE deleted IS NULL), answer AS ({sql}) SELECT * FROM answer"

@@ -20,48 +20,90 @@ def text_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.shortened(t, 60).alias("short"), T.token_estimate(t).alias("tokens"), T.bounded(t, 500).alias("bounded"))
 
 
-@query("""SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 90)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-', ''), 1, 64), '-$', '') AS s FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-', ''), 1, 64), '-$', '') AS s FROM documents)""")
 def slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, 'a [redacted] b ' || substr(text, 1, 20) || ' [redacted]' AS text FROM documents")
+@query("SELECT doc_id, 'a [redacted] b ' || text || ' [redacted]' AS text FROM documents")
 def private_blocks(spark, sf_dir):
-    said = F.concat(F.lit("a <PRIVATE>x\ny</private> b "), F.substring("text", 1, 20), F.lit(" <private>open"))
+    said = F.concat(F.lit("a <PRIVATE>"), "text", F.lit("</private> b "), "text", F.lit(" <private>"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", T.without_private(said).alias("text"))
 
 
-@query("SELECT conv_id, turn, trim(text) = '' OR starts_with(trim(text), '/') OR lower(trim(text)) IN ('ok', 'yes', 'no', 'thanks', 'done', 'go') AS trivial FROM conversations")
+ACKS = ", ".join(f"'{x}'" for x in T.ACKNOWLEDGEMENTS)
+
+
+@query(f"SELECT conv_id, turn, coalesce(p = '' OR starts_with(p, '/') OR p IN ({ACKS}), true) AS trivial FROM (SELECT conv_id, turn, lower(trim(CASE WHEN turn % 4 = 3 THEN ' Dale ' WHEN turn % 4 = 2 THEN '/' || text ELSE text END)) AS p FROM conversations)")
 def trivial_prompts(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_trivial(F.col("text")).alias("trivial"))
+    said = F.when(F.col("turn") % 4 == 3, " Dale ").when(F.col("turn") % 4 == 2, F.concat(F.lit("/"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_trivial(said).alias("trivial"))
+
+
+SAID = """SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN concat('<ide_selection> ', text) WHEN 2 THEN concat('You are a judge.', chr(10), '{"a": 1}', text)
+  WHEN 3 THEN concat(repeat(concat('2024-01-01 10:00:00 INFO started', chr(10)), 400), text) WHEN 4 THEN concat('Your task is plain. ', text) ELSE text END AS said FROM {documents}"""
+MARKS = " OR ".join(f"contains(low, '{m}')" for m in T.MACHINE_MARKS)
+ORDERS = " OR ".join(f"contains(substr(low, 1, 80), '{m}')" for m in T.ORDERS)
 
 
-@query("SELECT doc_id, doc_id % 4 IN (1, 2) AS machine_made FROM documents")
+@query(f"""SELECT doc_id, coalesce({MARKS} OR (len(lines) > 30 AND loggy * 100 > len(lines) * 80)
+    OR (({ORDERS}) AND (blocks > 0 OR contains(said, '":') OR contains(said, ': {{') OR contains(said, ':{{'))), false) AS machine_made FROM (
+  SELECT doc_id, said, lower(said) AS low, lines, len(list_filter(lines, lambda x: regexp_matches(trim(x), '^<[A-Za-z].*>$'))) AS blocks,
+    len(list_filter(lines, lambda x: length(ltrim(x)) >= 10 AND (regexp_matches(ltrim(x), '^(at |\\[|.?(ERROR|WARN|INFO|DEBUG|TRACE))') OR length(regexp_replace(substr(ltrim(x), 1, 10), '[^0-9]', '', 'g')) >= 6))) AS loggy
+  FROM (SELECT *, string_split(said, chr(10)) AS lines FROM ({SAID.replace("{documents}", "documents")})))""")
 def machine_prompts(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    said = F.when(k == 1, F.concat(F.lit("<ide_selection> "), F.substring("text", 1, 50))).when(k == 2, 'You are a judge.\n{"a": 1, "b":{"c": 2}}').otherwise(F.lit("please look at this"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.is_machine_made(said).alias("machine_made"))
+    """Plain texts, and texts behind each of the marks of prompts that machines wrote."""
+    said = spark.sql(SAID.replace('{"a": 1}', '{{"a": 1}}'), documents=table(spark, sf_dir, "documents"))
+    return said.select("doc_id", T.is_machine_made(F.col("said")).alias("machine_made"))
 
 
-@query("SELECT doc_id, k AS line, CASE k WHEN 0 THEN 'TODO' WHEN 2 THEN 'FIXME' ELSE 'NOTE' END AS marker FROM documents, (VALUES (0), (2), (4)) v(k)")
+LINED = "SELECT doc_id, concat('// TODO: ', text, chr(10), 'let x = 1;', chr(10), '  # fixme later', chr(10), '-- NOTE this', chr(10), 'TODO bare') AS source FROM {documents}"
+
+
+@query(f"""SELECT doc_id, k - 1 AS line, m AS marker FROM (SELECT doc_id, k, regexp_extract(upper(s), '^\\s*(//+|#+|--|\\*|/\\*)\\s*(TODO|FIXME|HACK|XXX|OPTIMIZE|BUG|NOTE)', 2) AS m FROM (
+  SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(source, chr(10)) AS l FROM ({LINED.format(documents="documents")})))) WHERE m <> ''""")
 def debt_markers(spark, sf_dir):
-    source = F.concat(F.lit("// TODO: "), F.substring(F.regexp_replace("text", "\n", " "), 1, 10), F.lit("\nlet x = 1;\n  # fixme later\nnothing\n-- NOTE this\nTODO bare"))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(source, "\n")).alias("line", "s"))
+    lines = spark.sql(LINED, documents=table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("source", "\n")).alias("line", "s"))
     return lines.select("doc_id", "line", T.marker_of(F.col("s")).alias("marker")).where("marker is not null")
 
 
-@query("""SELECT doc_id, 'url ://u:[REDACTED:url-credentials]@h, Bearer [REDACTED:bearer-header]; aws [REDACTED:aws-key-id]; password=[REDACTED:keyed-secret] session_token=$VAR' AS clean, 4 AS hits FROM documents""")
+@query()
+def debt_in_files(spark, sf_dir):
+    """Markers in comments of whole texts taken as files; held against a plain loop in the tests."""
+    files = spark.sql(LINED, documents=table(spark, sf_dir, "documents")).select("doc_id", "source")
+    found = files.select("doc_id", F.explode(T.debt_of(F.col("source"), F.lit("a.rs"))).alias("x"))
+    return found.select("doc_id", "x.line", "x.marker")
+
+
+def _formats(text: str) -> str:
+    for kind, pattern in D.WHOLE:
+        text = f"regexp_replace({text}, '{pattern}', '[REDACTED:{kind}]', 'g')"
+    text = f"regexp_replace({text}, '://([^/\\s:@]{{1,64}}):([^@/\\s]{{1,256}})@', '://\\1:[REDACTED:url-credentials]@', 'g')"
+    return f"regexp_replace({text}, '{D.BEARER}', '\\1[REDACTED:bearer-header]', 'g')"
+
+
+#: planted with one credential for each of a few formats, put together so that no literal one stands here
+PLANTED = "SELECT doc_id, concat(text, ' ://u:p', 'w1@h ', CASE doc_id % 4 WHEN 0 THEN concat('gh', 'p_', repeat('a1', 18)) WHEN 1 THEN concat('AK', 'IA', repeat('Q', 16)) WHEN 2 THEN concat('Bea', 'rer ', repeat('abcd', 5)) ELSE concat('np', 'm_', repeat('b2', 18)) END, ' end') AS text FROM {documents}"
+
+
+@query(f"SELECT doc_id, {_formats('text')} AS clean FROM ({PLANTED.format(documents='documents')})")
+def secret_formats(spark, sf_dir):
+    return spark.sql(PLANTED, documents=table(spark, sf_dir, "documents")).select("doc_id", D.without_formats(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT doc_id, clean, len(regexp_extract_all(clean, '\\[REDACTED:')) AS hits FROM (SELECT doc_id, {_formats('text')} || ' password=[REDACTED:keyed-secret] token=$VAR' AS clean FROM ({PLANTED.format(documents='documents')}))")
 def redaction(spark, sf_dir):
-    secret = F.concat(F.lit("url ://u:p"), F.lit("w1@h, Bearer "), F.lit("abcd" * 5), F.lit("; aws AK"), F.lit("IA" + "Q" * 16), F.lit("; password=hunter"), F.lit("22x session_token=$VAR"))
-    clean = D.redacted(F.when(F.col("doc_id").isNotNull(), secret))
-    return table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean")).withColumn("hits", F.size(D.hits(F.col("clean"))))
+    """Whole texts with planted credentials, without their secrets, and how many marks stand in them."""
+    leaking = spark.sql(PLANTED, documents=table(spark, sf_dir, "documents")).withColumn("text", F.concat("text", F.lit(" password="), F.lit("hunter22x token=$VAR")))
+    clean = D.redacted_rows(leaking, ["text"])
+    return clean.select("doc_id", F.col("text").alias("clean"), F.size(D.hits(F.col("text"))).alias("hits"))
 
 
 @query("""SELECT conv_id, turn, round(-list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) / len(c)::DOUBLE * log2(len(list_filter(c, lambda y: y = x)) / len(c)::DOUBLE))), 5) AS bits
-  FROM (SELECT conv_id, turn, string_split(substr(text, 1, 40), '') AS c FROM conversations WHERE length(text) > 0)""")
+  FROM (SELECT conv_id, turn, string_split(text, '') AS c FROM conversations WHERE length(text) > 0)""")
 def entropy(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
-    return rows.select("conv_id", "turn", F.round(D.entropy(F.substring("text", 1, 40)), 5).alias("bits"))
+    return rows.select("conv_id", "turn", F.round(D.entropy(F.col("text")), 5).alias("bits"))
 
 
 @query("SELECT item, tokens FROM (VALUES ('parseFileCache', 'parse file cache parsefilecache'), ('build_state', 'build state build_state'), ('HTTPServer', 'http server httpserver'), ('aB', 'ab')) v(item, tokens)")
