@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_dedup
 from .language_id import predict_language
+from .licences import scan
 from .mixing import mix
 from .packing import pack, piece_digests
+from .phrases import phrases
 from .quality import score_documents, with_verdict
 from .simhash_dedup import simhash_components
 from .suffix_dedup import repeated_spans, span_digests
 from .token_store import token_output
 from .unit_dedup import unit_dedup, with_span_text
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +72,23 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(_table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents")).drop("places")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_embedding_dedup, op2_unit_dedup, op3_source_mixing, op4_harmonic_packing, op5_language_id, op6_suffix_dedup,
-        op7_token_output, op8_exact_dedup, op9_quality_classifier, op10_simhash_dedup,
+        op7_token_output, op8_exact_dedup, op9_quality_classifier, op10_simhash_dedup, op11_phrase_mining,
+        op12_license_scan, op13_embedding_whitening,
     ]
     return {f.__name__: f for f in found}
 
@@ -120,5 +136,35 @@ FROM t LEFT JOIN kept USING (doc_id)
 """
 
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::bigint AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded) CROSS JOIN range(1, 6) r(m) WHERE i + m - 1 <= len(w)
+),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+inside AS (
+  SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(a) AS b
+  FROM cand CROSS JOIN range(2, 5) x(k) CROSS JOIN range(1, 5) y(s) WHERE k < m AND s + k - 1 <= m GROUP BY ALL
+),
+left_over AS (SELECT c.* FROM cand c LEFT JOIN inside i USING (lang, phrase) WHERE b IS NULL OR 100 * b < 100 * a),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n, ((1000::hugeint * c.a * n) // (x.a::hugeint * y.a))::bigint AS score
+  FROM left_over c CROSS JOIN range(1, 5) z(k) JOIN totals t ON t.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+  WHERE k < c.m
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_unit_dedup": _OP2, "op8_exact_dedup": _OP8}
+    return {"op11_phrase_mining": _OP11, "op2_unit_dedup": _OP2, "op8_exact_dedup": _OP8}
