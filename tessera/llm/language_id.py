@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 WINDOW, HIDDEN = 64, 8
 NONE = "und"
-#: share of the way from chance (1 / languages) to certainty that a text's best language must reach
-LEAST_LEAD = 0.05
 
 
 def held_out(id_col: str) -> Column:
@@ -256,7 +254,7 @@ def _sifter(held, wanted: tuple[str, ...] | None, least_lead: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = 1 / len(held.value[0])
-        least_score = chance + least_lead * (1 - chance)
+        least_score = chance + least_lead * (1 - chance) if least_lead > 0 else 0.0
         for batch in batches:
             raws, rest = batch.column(batch.num_columns - 1), batch.columns[:-1]
             stays = [
@@ -269,13 +267,13 @@ def _sifter(held, wanted: tuple[str, ...] | None, least_lead: float):
 
 def with_known_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    wanted: tuple[str, ...] | None = None, least_lead: float = LEAST_LEAD, **bounds,
+    wanted: tuple[str, ...] | None = None, least_lead: float = 0.0, **bounds,
 ) -> DataFrame:
     """The rows of ``docs`` that the network places in a language, with all their columns, in one pass.
 
-    Each row is judged by its own text: it goes if the text is null or has no letters, if the network can hardly
-    tell its best language from chance (``least_lead``), or if ``wanted`` is given and the best language
-    is not among it. A label is never a reason to go. Repeated ids and rows are judged
+    Each row is judged by its own text: it goes if the text is null or has no letters, or if ``wanted`` is given and the best language
+    is not among it. A caller may ask for a best language that is ``least_lead`` of the way from chance to certainty; by
+    default every text with letters has one. A label is never a reason to go. Repeated ids and rows are judged
     one by one. With nothing to learn from, rows with letters stay. An empty table gives an empty table.
     """
     model = learn(docs, id_col, text_col, lang_col, **bounds)
