@@ -33,8 +33,8 @@ _BREAKS, _BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 #: A-Z in lower case, every break as one mark, every blank as a space
 _MARK = b"."
 _FOLD = bytes(46 if b in _BREAKS else 32 if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: distinct words or keys that a task holds before it passes counts on
-_HELD = 1 << 20
+#: distinct words or keys that a task holds before it passes counts on, and keys of a range
+_HELD, _RANGE = 1 << 18, 1 << 19
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -114,7 +114,8 @@ def _packed(columns: list[np.ndarray], width: int) -> pa.Array:
 
 
 def _unpacked(keys: pa.Array, longest: int, width: int) -> list[np.ndarray]:
-    flat = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(len(keys), longest, width)
+    size = longest * width
+    flat = np.frombuffer(keys.buffers()[2], np.uint8)[keys.offset * size : (keys.offset + len(keys)) * size].reshape(len(keys), longest, width)
     wide = np.zeros((len(keys), longest, 8), np.uint8)
     wide[:, :, 8 - width :] = flat
     ids = wide.view(">u8").reshape(len(keys), longest)
@@ -210,7 +211,7 @@ def _prefix_runs(longest: int, width: int, least: int):
                 continue
             held.append((_unpacked(batch.column(0), longest, width), batch.column(1).to_numpy()))
             size += batch.num_rows
-            if size > 4 * _HELD:
+            if size > 4 * _RANGE:
                 held = [_runs([np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]))]
                 size = len(held[0][1])
         if not held:
@@ -249,7 +250,7 @@ def phrase_counts(rows: DataFrame, words: DataFrame, longest: int, least: int, m
     else:
         keys = _by_join(rows, words, longest, width)
     keys = materialize(keys, "zstd")
-    ranges = max(spark.sparkContext.defaultParallelism, -(-keys.count() // _HELD))
+    ranges = max(spark.sparkContext.defaultParallelism, -(-keys.count() // _RANGE))
     dealt = keys.repartitionByRange(ranges, "key").mapInArrow(_prefix_runs(longest, width, least), "key binary, c long")
     found = materialize(dealt.groupBy("key").agg(F.sum("c").alias("a")).where(F.col("a") >= least))
     discard(keys)
