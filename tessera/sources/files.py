@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: fixed values: folders that an inventory skips
-IGNORED = ("node_modules", "target", "dist", "build", ".git", "vendor", "__pycache__")
+from tessera.operators.inventory import MOST_BYTES, listed
 
 
 def tagged_lines(entries: DataFrame, edges: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -38,19 +37,18 @@ def absent_only(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")
 
 
-def inventory(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """(path, size, lines, modified, ext) of text files below a folder; ignored and hidden ones and large files are left out."""
+def inventory(spark: SparkSession, path: str, rules: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, size, lines, modified, ext, hash) of the text files below a folder that an inventory lists; paths are relative.
+
+    ``rules`` is what :func:`tessera.operators.inventory.ignore_rules` makes of ignore files; Spark's own readers do not list hidden files, so their texts are the
+    caller's to read. Names and sizes decide before any content is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    hidden = "(^|/)(\\.[^/]+|" + "|".join(x.replace(".", "\\.") for x in IGNORED) + ")(/|$)"
-    relative = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    inside = F.substring(relative, len(path.rstrip("/")) + 2, 1 << 20)
-    return (
-        files.where((F.col("length") <= most_bytes) & ~inside.rlike(hidden))
-        .select(
-            inside.alias("path"), F.col("length").alias("size"), (F.size(F.split(F.decode("content", "utf-8"), "\n"))).alias("lines"),
-            F.col("modificationTime").alias("modified"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("ext"), F.sha2("content", 256).alias("hash"),
-        )
-    )
+    whole = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    inside = F.substring(whole, len(path.rstrip("/")) + 2, 1 << 20)
+    found = listed(files.select(inside.alias("path"), F.col("length").alias("size"), "content", F.col("modificationTime").alias("modified")), rules, most_bytes)
+    lines = F.size(F.split(F.decode("content", "utf-8"), "\n"))
+    return found.select("path", "size", lines.alias("lines"), "modified", F.concat(F.lit("."), "ext").alias("ext"), F.sha2("content", 256).alias("hash"))
 
 
 def change_list(lines: DataFrame) -> DataFrame:
