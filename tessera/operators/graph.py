@@ -212,7 +212,7 @@ def unique_names(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("callee").agg(F.min("target").alias("target"), F.max("target").alias("most")).where("target = most").drop("most")
 
 
-# fixed values: what a file's path says of its worth, first match wins; S stands for the extensions of scripts
+# fixed values: what a file's path says of its worth, first match wins
 FILE_KINDS = (
     (r"(^|/)claude\.md$", 40), (r"(^|/)(readme|agents)\.md$", 30), (r"/phases/.*\.md$", 25), (r"\.mdx?$", 15),
     (r"(^|/)docker-compose[^/]*\.ya?ml$", 18), (r"(^|/)dockerfile$", 16), (r"(^|/)makefile$", 14), (r"(^|/)\.env\.example$", 14),
@@ -220,11 +220,11 @@ FILE_KINDS = (
     (r"(^|/)(main|app|server|bootstrap|startup)\.[^./]+$", 25), (r"(^|/)(program|application)\.[^./]+$", 22),
     (r"\.(spec|test)\.", 5), (r"__(tests?|specs?)__", 3), (r"^(?!.*/util).*/tests?/", 3),
     (r"\.module\.ts$", 22), (r"\.service\.ts$", 18), (r"\.controller\.ts$", 18), (r"\.entity\.ts$", 22), (r"\.guard\.ts$", 16),
-    (r"\.middleware\.ts$", 16), (r"\.decorator\.ts$", 14), (r"/migrations?/.*S", 25), (r"\.dto\.ts$", 12), (r"\.config\.ts$", 12),
-    (r"\.(schema|model)\.ts$", 20), (r"\.repository\.ts$", 16), (r"\.factory\.ts$", 10), (r"/(storage|adapters?)/.*S", 20), (r"/mcp/.*S", 20),
-    (r"/(crawl|graph|analysis|scoring)/.*S", 18), (r"/(scanner|discovery|bridge)/.*S", 16), (r"(interface|adapter|bridge)[^/]*S", 18),
-    (r"/(pages|app)/.*\.[tj]sx$", 18), (r"/components/.*S", 10), (r"/hooks/.*S", 12), (r"/context/.*S", 14), (r"/store/.*S", 14),
-    (r"/packages/.*/src/index\.ts$", 14), (r"(^|/)index\.[tj]sx?$", -8), (r"/constants?/.*S", 6), (r"/utils?/.*S", 6), (r"/types?/.*S", 8), (r"S", 5),
+    (r"\.middleware\.ts$", 16), (r"\.decorator\.ts$", 14), (r"/migrations?/.*\.([tj]sx?|mjs|cjs)$", 25), (r"\.dto\.ts$", 12), (r"\.config\.ts$", 12),
+    (r"\.(schema|model)\.ts$", 20), (r"\.repository\.ts$", 16), (r"\.factory\.ts$", 10), (r"/(storage|adapters?)/.*\.([tj]sx?|mjs|cjs)$", 20), (r"/mcp/.*\.([tj]sx?|mjs|cjs)$", 20),
+    (r"/(crawl|graph|analysis|scoring)/.*\.([tj]sx?|mjs|cjs)$", 18), (r"/(scanner|discovery|bridge)/.*\.([tj]sx?|mjs|cjs)$", 16), (r"(interface|adapter|bridge)[^/]*\.([tj]sx?|mjs|cjs)$", 18),
+    (r"/(pages|app)/.*\.[tj]sx$", 18), (r"/components/.*\.([tj]sx?|mjs|cjs)$", 10), (r"/hooks/.*\.([tj]sx?|mjs|cjs)$", 12), (r"/context/.*\.([tj]sx?|mjs|cjs)$", 14), (r"/store/.*\.([tj]sx?|mjs|cjs)$", 14),
+    (r"/packages/.*/src/index\.ts$", 14), (r"(^|/)index\.[tj]sx?$", -8), (r"/constants?/.*\.([tj]sx?|mjs|cjs)$", 6), (r"/utils?/.*\.([tj]sx?|mjs|cjs)$", 6), (r"/types?/.*\.([tj]sx?|mjs|cjs)$", 8), (r"\.([tj]sx?|mjs|cjs)$", 5),
     (r"tsconfig\.base\.json$", 20), (r"(^|/)tsconfig[^/]*\.json$", 15), (r"^(?!.*node_modules)(.*/)?package\.json$", 18),
     (r"(^|/)__init__\.py$", -5), (r"(^|/)(models?|schema)\.py$", 22), (r"(^|/)(views?|routes?|api)\.py$", 18), (r"(^|/)(middleware|decorators?)\.py$", 16),
     (r"(^|/)(settings?|config)\.py$", 18), (r"(^|/)(serializers?|validators?|tasks?|celery)\.py$", 14), (r"(^|/)(manage|wsgi|asgi)\.py$", 20), (r"\.py$", 5),
@@ -238,8 +238,7 @@ OTHER_KIND = 3
 def file_kind(path: Column) -> Column:
     """Points for the kind of a file, by its path in lower case."""
     low = F.lower(path)
-    rules = ((pattern.replace("S", r"\.([tj]sx?|mjs|cjs)$"), points) for pattern, points in FILE_KINDS)
-    return reduce(lambda c, x: c.when(low.rlike(x[0]), x[1]), rules, F).otherwise(OTHER_KIND)
+    return reduce(lambda c, x: c.when(low.rlike(x[0]), x[1]), FILE_KINDS, F).otherwise(OTHER_KIND)
 
 
 def importance(files: DataFrame, imports: DataFrame, depths: DataFrame, now) -> DataFrame:

@@ -23,7 +23,7 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    from . import change_queries, entry_queries, file_queries, graph_queries, lifecycle_queries, payload_queries, report_queries, search_queries, source_queries, text_queries, type_queries  # noqa: F401
+    from . import change_queries, entry_queries, file_queries, graph_queries, lifecycle_queries, payload_queries, replica_queries, report_queries, search_queries, source_queries, text_queries, type_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

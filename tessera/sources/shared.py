@@ -5,17 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back: what follows is planned on a table, and a lost executor costs its running tasks only.
-
-    The folder is ``spark.checkpoint.dir``; where none is set, a temporary one, on a local master only.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, kind: str = "step") -> str:
+    """A new path below ``spark.checkpoint.dir``; where none is set, in a temporary folder, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,6 +19,11 @@ def written(df: DataFrame) -> DataFrame:
         if not _local:
             _local.append(f"file://{tempfile.mkdtemp(prefix='tessera-steps-')}")
         base = _local[0]
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back: what follows is planned on a table, and a lost executor costs its running tasks only."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
