@@ -23,7 +23,7 @@ def query(oracle: str | None = None):
 
 
 def _load() -> None:
-    from . import budget_queries, change_queries, entry_queries, file_queries, graph_queries, lifecycle_queries, payload_queries, process_queries, replica_queries, report_queries, search_queries, source_queries, text_queries, type_queries  # noqa: F401
+    from . import budget_queries, change_queries, entry_queries, file_queries, graph_queries, lifecycle_queries, log_queries, payload_queries, process_queries, replica_queries, report_queries, search_queries, source_queries, text_queries, type_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -63,6 +63,48 @@ def change_list(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(part) > 1).select(F.explode(rows).alias("x")).select("x.*").where("change is not null")
 
 
-def stats_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated rows; columns that older rows lack are null."""
-    return spark.read.option("sep", "\t").option("mode", "PERMISSIVE").schema(schema).csv(path)
+def log_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``value``: a line of tab-separated columns for each row; nulls at its end are left out, so narrow rows stay narrow.
+
+    Tabs and line ends within a value become blanks, nulls before the last value are empty.
+    """
+    clean = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]", " ") for c in columns]
+    last = F.greatest(*(F.when(F.col(c).isNotNull(), k + 1).otherwise(0) for k, c in enumerate(columns)), F.lit(0))
+    return rows.select(F.array_join(F.slice(F.array(*clean), F.lit(1), last), "\t").alias("value"))
+
+
+def parsed_log(lines: DataFrame, columns: list[tuple[str, str]], least: int) -> DataFrame:
+    """``value`` -> the columns by name and type, ``width`` and ``fault``: rows of every width in one read.
+
+    Columns that a narrow row lacks are null, an empty field is null too. ``fault`` tells what is wrong, with all columns null: fewer than ``least`` fields, or a field among
+    the first ``least`` that its type cannot hold. A later field of the wrong type is null and no fault; fields beyond the known ones are left out. Empty lines go.
+    """
+    parts = F.split(F.regexp_replace("value", r"\r$", ""), "\t", -1)
+    held = lines.where(F.col("value").isNotNull() & (F.trim("value") != "")).select(parts.alias("parts")).withColumn("width", F.size("parts"))
+    raw = [F.nullif(F.get("parts", F.lit(k)), F.lit("")) for k in range(len(columns))]
+    read = held.select("width", *(r.alias(f"__{n}") for r, (n, _) in zip(raw, columns, strict=True)))
+    cast = [F.col(f"__{n}").try_cast(t) for n, t in columns]
+    wrong = F.coalesce(*(F.when(F.col(f"__{n}").isNull() | c.isNull(), F.lit(f"bad {n}")) for c, (n, _) in zip(cast[:least], columns[:least], strict=True)))
+    fault = F.when(F.col("width") < least, "too few fields").otherwise(wrong)
+    return read.select(*(F.when(fault.isNull(), c).alias(n) for c, (n, _) in zip(cast, columns, strict=True)), "width", fault.alias("fault"))
+
+
+def stats_log(spark: SparkSession, path: str, columns: list[tuple[str, str]], least: int = 3) -> DataFrame:
+    """:func:`parsed_log` of the text files at ``path``."""
+    return parsed_log(spark.read.text(path), columns, least)
+
+
+def append_log(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Append rows to a log as new files."""
+    log_lines(rows, columns).write.mode("append").text(path)
+
+
+def line_faults(lines: DataFrame) -> DataFrame:
+    """``value`` of tagged JSON lines -> (fault, n): what an import leaves out, and why."""
+    kind, text = F.get_json_object("value", "$.kind"), F.trim("value")
+    data = F.when(kind.isNull(), F.col("value")).otherwise(F.get_json_object("value", "$.data"))
+    fault = (
+        F.when(F.col("value").isNull() | (text == ""), "empty").when(F.try_parse_json("value").isNull(), "no JSON").when(~text.startswith("{"), "no object")
+        .when(kind.isNotNull() & ~kind.isin("entry", "edge", "session"), "unknown kind").when(F.get_json_object(data, "$.id").isNull(), "no id")
+    )
+    return lines.select(fault.alias("fault")).where("fault is not null").groupBy("fault").agg(F.count("*").alias("n"))
