@@ -8,6 +8,10 @@ ranges; a range is sorted the same way, and one pass over it counts the runs of
 each length. A run that touches the border of a range may go on in the next one, so its part is kept whatever its size,
 and parts are added up.
 
+Pairs of words are counted first. A longer phrase of ``least`` occurrences holds only pairs that have as many, so for the second count
+pieces also break at all other pairs. Which pairs are frequent goes to the tasks as a bitmap of bounded size; where two pairs share a bit, a piece is merely not
+broken, and no count changes.
+
 Ids go to the tasks as one table while it is below ``most_broadcast`` bytes. Beyond that the distinct words of each
 document meet the table by a join, and a document is numbered by what it got.
 
@@ -17,6 +21,7 @@ table has no phrases. A text is cut as a whole, however long.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, materialize, release
 
 #: fixed values: bytes that end a piece, and those that part words
 _BREAKS, _BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
@@ -35,6 +40,10 @@ _MARK = b"."
 _FOLD = bytes(46 if b in _BREAKS else 32 if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: distinct words or keys that a task holds before it passes counts on, and keys of a range
 _HELD, _RANGE = 1 << 18, 1 << 19
+#: ids in the keys that a task sorts at a time
+_SORTED = 1 << 21
+#: bits of the bitmap of frequent pairs: for each pair, and at most
+_PAIR_BITS, _MOST_BITS = 16, 1 << 29
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -122,15 +131,57 @@ def _unpacked(keys: pa.Array, longest: int, width: int) -> list[np.ndarray]:
     return [ids[:, k].astype(np.uint64) for k in range(longest)]
 
 
-def _windows(ids: list[int], longest: int) -> list[np.ndarray]:
-    """For each id with a neighbour after it: the ids from there to the next break, ``longest`` at most, then zeros."""
+class Pairs:
+    """A bitmap of pairs of ids."""
+
+    def __init__(self, n_bits: int):
+        self.shift = np.uint64(64 - (n_bits.bit_length() - 1))
+        self.bits = np.zeros(n_bits >> 3, np.uint8)
+
+    def _at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F)) >> self.shift
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Pairs:
+        at = self._at(a, b)
+        np.bitwise_or.at(self.bits, at >> np.uint64(3), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+        return self
+
+    def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = self._at(a, b)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def merge(self, other: Pairs | None) -> Pairs:
+        if other is not None:
+            self.bits |= other.bits
+        return self
+
+
+def frequent_pairs(found: DataFrame, width: int) -> Pairs:
+    """The bitmap of all keys in ``found(key)``: each task sets its own bits, a tree merges them."""
+    n_bits = min(_MOST_BITS, 1 << max(10, (_PAIR_BITS * found.count() - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Pairs(n_bits)
+        for batch in batches:
+            if batch.num_rows:
+                own.add(*_unpacked(batch.column(0), 2, width))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], names=["own"])
+
+    partial = found.select("key").coalesce(64).mapInArrow(run, "own binary").rdd.map(lambda r: pickle.loads(r[0]))
+    return partial.treeAggregate(Pairs(n_bits), lambda a, b: a.merge(b), lambda a, b: a.merge(b))
+
+
+def _windows(ids: list[int], longest: int, pairs: Pairs | None) -> list[np.ndarray]:
+    """For each id: the ids from there to the next break, ``longest`` at most, then zeros; two of them at least, three where pairs are known."""
     n = len(ids)
     padded = np.zeros(n + longest, np.uint64)
     padded[:n] = ids
     columns = [padded[k : k + n].copy() for k in range(longest)]
     for before, column in zip(columns, columns[1:], strict=False):
         column[before == 0] = 0
-    inside = columns[1] > 0
+        if pairs is not None:
+            column[~pairs.has(before, column)] = 0
+    inside = columns[1 if pairs is None else 2] > 0
     return [c[inside] for c in columns]
 
 
@@ -148,39 +199,41 @@ def _counted(parts: Iterator[list[np.ndarray]], longest: int, width: int) -> Ite
     for columns in parts:
         held.append(columns)
         size += len(columns[0])
-        if size > _HELD:
+        if size * longest > _SORTED:
             yield from out(held)
             held, size = [], 0
     if size:
         yield from out(held)
 
 
-def _keys_by_table(table, longest: int, width: int):
+def _keys_by_table(table, longest: int, width: int, pairs=None):
     """Rows (lang, raw) -> (key, c), ids from a table held by each worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        known, kept = table.value, pairs and pairs.value
 
         def parts() -> Iterator[list[np.ndarray]]:
             for batch in batches:
                 for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     own = known.get(lang, {})
-                    yield _windows(list(map(own.get, _words(raw.as_py()), repeat(0))), longest)
+                    yield _windows(list(map(own.get, _words(raw.as_py()), repeat(0))), longest, kept)
 
         return _counted(parts(), longest, width)
 
     return run
 
 
-def _keys_by_row(longest: int, width: int):
+def _keys_by_row(longest: int, width: int, pairs=None):
     """Rows (raw, words, ids) -> (key, c), ids from the row itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = pairs and pairs.value
+
         def parts() -> Iterator[list[np.ndarray]]:
             for batch in batches:
                 for raw, words, ids in zip(*(batch.column(k) for k in range(3)), strict=True):
                     own = dict(zip(words.as_py(), ids.as_py(), strict=True))
-                    yield _windows(list(map(own.get, _words(raw.as_py()), repeat(0))), longest)
+                    yield _windows(list(map(own.get, _words(raw.as_py()), repeat(0))), longest, kept)
 
         return _counted(parts(), longest, width)
 
@@ -193,16 +246,16 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.binary()))], names=["u", "lang", "words"])
 
 
-def _by_join(rows: DataFrame, words: DataFrame, longest: int, width: int) -> DataFrame:
-    """Each document's distinct words meet the table of ids; Spark splits what a very frequent word gathers in that join."""
+def _numbered(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(raw, word, id): each document with its distinct words' ids; Spark splits what a very frequent word gathers in that join."""
     held = materialize(rows.select(F.monotonically_increasing_id().alias("u"), "lang", "raw"))
     asked = held.mapInArrow(_distinct_words, "u long, lang string, words array<binary>").select("u", "lang", F.explode("words").alias("word"))
     found = asked.join(words.select("id", "lang", "word"), ["lang", "word"]).groupBy("u").agg(F.collect_list(F.struct("word", "id")).alias("own"))
-    return held.join(found, "u").select("raw", "own.word", "own.id").mapInArrow(_keys_by_row(longest, width), "key binary, c long")
+    return materialize(held.join(found, "u").select("raw", "own.word", "own.id"))
 
 
-def _prefix_runs(longest: int, width: int, least: int):
-    """A range of keys -> (key, c) of each prefix of two words or more with ``least`` occurrences, or at a border of the range."""
+def _prefix_runs(shortest: int, longest: int, width: int, least: int):
+    """A range of keys -> (key, c) of each prefix of ``shortest`` words or more with ``least`` occurrences, or at a border of the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -222,6 +275,8 @@ def _prefix_runs(longest: int, width: int, least: int):
         turn[1:] |= columns[0][1:] != columns[0][:-1]
         for k in range(1, longest):
             turn[1:] |= columns[k][1:] != columns[k][:-1]
+            if k + 1 < shortest:
+                continue
             starts = np.flatnonzero(turn)
             sums = np.add.reduceat(c, starts)
             keep = sums >= least
@@ -246,15 +301,24 @@ def phrase_counts(rows: DataFrame, words: DataFrame, longest: int, least: int, m
         table: dict[str, dict[bytes, int]] = defaultdict(dict)
         for r in words.select("id", "lang", "word").toLocalIterator():
             table[r.lang][bytes(r.word)] = r.id
-        keys = rows.mapInArrow(_keys_by_table(spark.sparkContext.broadcast(dict(table)), longest, width), "key binary, c long")
+        shared = spark.sparkContext.broadcast(dict(table))
+        numbered, keyed = rows, lambda n, pairs: _keys_by_table(shared, n, width, pairs)
     else:
-        keys = _by_join(rows, words, longest, width)
-    keys = materialize(keys, "zstd")
-    ranges = max(spark.sparkContext.defaultParallelism, -(-keys.count() // _RANGE))
-    dealt = keys.repartitionByRange(ranges, "key").mapInArrow(_prefix_runs(longest, width, least), "key binary, c long")
-    found = materialize(dealt.groupBy("key").agg(F.sum("c").alias("a")).where(F.col("a") >= least))
-    discard(keys)
-    return found
+        numbered, keyed = _numbered(rows, words), lambda n, pairs: _keys_by_row(n, width, pairs)
+
+    def counted(n: int, pairs, shortest: int) -> DataFrame:
+        keys = materialize(numbered.mapInArrow(keyed(n, pairs), "key binary, c long"), "zstd")
+        ranges = max(spark.sparkContext.defaultParallelism, -(-keys.count() // _RANGE))
+        dealt = keys.repartitionByRange(ranges, "key").mapInArrow(_prefix_runs(shortest, n, width, least), "key binary, c long")
+        found = materialize(dealt.groupBy("key").agg(F.sum("c").alias("a")).where(F.col("a") >= least))
+        discard(keys)
+        return found
+
+    pairs = counted(2, None, 2)
+    if longest == 2:
+        return pairs
+    release(spark)  # the first count's shuffle is not read again
+    return pairs.union(counted(longest, spark.sparkContext.broadcast(frequent_pairs(pairs, width)), 3))
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, cover: int = 100, top: int = 2000, most_broadcast: int = 64 << 20) -> DataFrame:
