@@ -27,6 +27,8 @@ from .components import connected_components
 from .storage import materialize
 
 THRESHOLD = 0.93
+#: scores that a fit holds at once
+_SCORES = 1 << 23
 
 
 def _usable(v: Column) -> Column:
@@ -45,7 +47,8 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -
     k = max(1, min(k, len(sample)))
     centre = sample[np.random.default_rng(seed).choice(len(sample), k, replace=False)]
     for _ in range(rounds):
-        cell = (sample @ centre.T).argmax(1)
+        # in blocks, so that no more than some million scores are held at once
+        cell = np.concatenate([(part @ centre.T).argmax(1) for part in np.array_split(sample, -(-len(sample) * k // _SCORES))])
         order = np.argsort(cell, kind="stable")
         own, start = np.unique(cell[order], return_index=True)
         total = np.add.reduceat(sample[order], start, axis=0)
@@ -181,7 +184,6 @@ def embedding_components(
     spread: float = 4.0,
     cell_sample: int = 8,
     most_cells: int = 16384,
-    least_rows: int = 4096,
     tile: int = 2048,
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
@@ -190,14 +192,14 @@ def embedding_components(
     that is null, zero, of null or non-finite components, without label or without id links with
     nothing and stands alone; vectors of different lengths never link. Repeated rows with one id
     count as vectors of their own. Cells number half the root of the vectors of one length, ``most_cells`` at most, and are
-    fitted on ``cell_sample`` vectors for each; a length of fewer than ``least_rows`` vectors is one cell. Other columns are ignored. An empty table gives an empty table.
+    fitted on ``cell_sample`` vectors for each. Other columns are ignored. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     usable = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("vector")))
     nodes = materialize(usable.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
-    # lengths of few vectors need no cells; of the others there are not many
-    sizes = nodes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).collect()
+    # one row for each length of vectors; sixteen vectors make the first two cells
+    sizes = nodes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") >= 16).collect()
     centres = {}
     for dim, n in sizes:
         cells = min(most_cells, int(n**0.5 / 2))

@@ -62,7 +62,7 @@ def test_recall_on_a_dense_group_of_many_cells(spark, dim):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     true = (unit @ unit.T >= 0.93).sum(1) - 1
     df = spark.createDataFrame([(i, [float(x) for x in np.float32(v)], 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
-    found = embedding_components(df, least_rows=100, probes=4).collect()
+    found = embedding_components(df, probes=4).collect()
     links = np.zeros(len(rows), int)
     for r in found:
         links[r.vec_id] = r.n_links
@@ -147,3 +147,20 @@ def test_calibration_by_search():
     assert abs(a - best[1]) < 0.05 and abs(b - best[2]) < 0.05
     for text in ("", "Ab 1\t", "ÄÖ ß٣ x", "😀 A"):
         assert char_counts(text) == [sum(map(f, text)) for f in (str.isupper, str.isalpha, str.isdigit, str.isspace)]
+
+
+def test_small_tables_use_cells_too(spark, monkeypatch):
+    from tessera.llm import embedding_dedup as module
+
+    fitted, fit = [], module.fit_centroids
+    monkeypatch.setattr(module, "fit_centroids", lambda sample, k, **more: fitted.append(k) or fit(sample, k, **more))
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(120, 64))
+    rows = [*base, *(base[i % 60] + draw.normal(size=64) * 0.2 for i in range(380))]
+    df = spark.createDataFrame([(i, [float(x) for x in v], i % 2) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    unit = np.array(rows, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    same = np.arange(500)[:, None] % 2 == np.arange(500)[None, :] % 2
+    want = ((unit @ unit.T >= 0.93) & same & ~np.eye(500, dtype=bool)).sum(1)
+    got = {r.vec_id: r.n_links for r in embedding_components(df).collect()}
+    assert fitted == [11] and want.sum() > 500 and [got[i] for i in range(500)] == want.tolist()
