@@ -169,7 +169,8 @@ def _spread(length: int, gram: int, buckets: int, group_bytes: int):
         if len(hot):
             word = {k: v[hot] for k, v in rows.items()} | {"open": np.full(len(hot), 3, np.uint8)}
             rows = {k: np.concatenate([v, word[k]]) for k, v in rows.items()}
-        by = np.where((rows["open"] == 1) | (rows["open"] == 2), rows["seg"], rows["key"] >> np.uint64(17))
+        # what is decided meets nothing any more, so it goes by its document: a passage in very many texts fills no bucket
+        by = np.select([rows["open"] == 1, rows["open"] == 2], [rows["u"].astype(np.uint64), rows["seg"]], rows["key"] >> np.uint64(17))
         bucket = (by % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((rows["lo"], rows["u"], bucket))
         own, start = np.unique(bucket[order], return_index=True)

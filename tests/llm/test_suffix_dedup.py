@@ -68,3 +68,22 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert (1, whole, whole) in found and (1, whole, whole - period) in found
     assert (2, 0, 0) in found and any(r[0] is None and r[2] >= whole for r in found)
     assert repeated_spans(df.limit(0)).count() == 0
+
+
+def test_a_passage_in_a_third_of_the_texts_fills_no_bucket():
+    """Decided windows are dealt by document, so buckets stay even; all but one of a task's copies are decided there."""
+    import pyarrow as pa
+
+    from tessera.llm.suffix_dedup import _spread
+
+    draw = random.Random(8)
+    noise = lambda n: bytes(draw.randrange(97, 123) for _ in range(n))
+    passage = noise(400)
+    texts = [noise(200) + (passage if i % 3 == 0 else noise(400)) + noise(100) for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(texts, pa.binary())], names=["u", "raw"])
+    sizes = {}
+    for out in _spread(100, 16, 30, 1 << 30)(iter([batch])):
+        for bucket, blob in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            sizes[bucket] = sizes.get(bucket, 0) + len(blob)
+    mean = sum(sizes.values()) / len(sizes)
+    assert len(sizes) == 30 and max(sizes.values()) < 1.4 * mean
