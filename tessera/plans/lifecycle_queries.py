@@ -118,15 +118,15 @@ PLAIN = "trim(regexp_replace(lower(coalesce({}, '')), '\\s+', ' ', 'g'))"
 BATCH = """SELECT id, namespace, title, topic_key, created, CASE WHEN id % 6 = 1 THEN content || ' <private>' || content ELSE content END AS given,
   CASE WHEN length(c) > 10000 THEN substr(c, 1, (10000 - length(m))::BIGINT) || m ELSE c END AS content, deleted, length(c) AS n FROM (
   SELECT *, chr(10) || chr(10) || '… [truncated ' || (length(c) - 10000) || ' chars]' AS m FROM (
-    SELECT *, CASE WHEN id % 6 = 1 THEN content || ' [redacted]' ELSE content END AS c FROM live WHERE id % 2 = 1 AND NOT regexp_matches(coalesce(content, '') || coalesce(title, ''), 'password|token|secret|_key|sk-|AKIA|gh[a-z]_|://|BEGIN|eyJ|[Bb]earer|xox|AIza|glpat|hf_|npm_|SG\\.')))"""
+    SELECT *, CASE WHEN id % 6 = 1 THEN content || ' [redacted]' WHEN id % 6 = 3 THEN '[REDACTED:npm-token] ' || content ELSE content END AS c FROM live WHERE id % 2 = 1))"""
 
 
 def _proposed(spark, sf_dir, key=None):
     rows = tagged_entries(spark, sf_dir).where("deleted_at is null")
     rows = rows if key is None else rows.withColumn("topic_key", key)
-    plain = ~F.concat(F.coalesce("content", F.lit("")), F.coalesce("title", F.lit(""))).rlike(r"password|token|secret|_key|sk-|AKIA|gh[a-z]_|://|BEGIN|eyJ|[Bb]earer|xox|AIza|glpat|hf_|npm_|SG\.")
-    given = F.when(F.col("id") % 6 == 1, F.concat("content", F.lit(" <private>"), "content")).otherwise(F.col("content"))
-    return L.proposed(rows.where((F.col("id") % 2 == 1) & plain).withColumn("content", given), rows.where("id % 2 = 0"), now())
+    given = F.when(F.col("id") % 6 == 1, F.concat("content", F.lit(" <private>"), "content"))
+    given = given.when(F.col("id") % 6 == 3, F.concat(F.lit("npm" + "_" + "b2" * 18 + " "), "content")).otherwise(F.col("content"))
+    return L.proposed(rows.where(F.col("id") % 2 == 1).withColumn("content", given), rows.where("id % 2 = 0"), now())
 
 
 @query(with_tables(f"""WITH b AS ({BATCH}), every AS (SELECT id, namespace, topic_key, {HASH} AS h, created AS t, 0 AS batch FROM live WHERE id % 2 = 0

@@ -91,10 +91,24 @@ def secret_formats(spark, sf_dir):
     return spark.sql(PLANTED, documents=table(spark, sf_dir, "documents")).select("doc_id", D.without_formats(F.col("text")).alias("clean"))
 
 
-@query(f"SELECT doc_id, clean, len(regexp_extract_all(clean, '\\[REDACTED:')) AS hits FROM (SELECT doc_id, {_formats('text')} || ' password=[REDACTED:keyed-secret] token=$VAR' AS clean FROM ({PLANTED.format(documents='documents')}))")
+#: values of key-like names, of every kind that the decision tells apart; repeated and joined here, so that no literal credential stands in the code
+KEYED = """CASE doc_id % 16 WHEN 0 THEN concat('hunter', CAST(doc_id AS STRING), 'xyz') WHEN 1 THEN concat('q9X2vLp8', 'Rj4tYw7ZnB3mK6dF1sG5hA0c', CAST(doc_id AS STRING)) WHEN 2 THEN repeat('ab', 15) WHEN 3 THEN concat('path/to/keys/deploy/', CAST(doc_id AS STRING), '/id')
+  WHEN 4 THEN concat('get_token', CAST(doc_id AS STRING), '()') WHEN 5 THEN '<your-api-key>' WHEN 6 THEN '$DB_PASSWORD' WHEN 7 THEN repeat('3f5a2b8c', 5) WHEN 8 THEN '550e8400-e29b-41d4-a716-446655440000' WHEN 9 THEN concat('9f86d081884c7d65', '9a2feaa0c55ad015')
+  WHEN 10 THEN concat('wJalrXUtnFEMI/K7MDENG/', 'bPxRfiCyEXAMPLE', CAST(doc_id AS STRING)) WHEN 11 THEN 'a1b2c3d4e5' WHEN 12 THEN 'short' WHEN 13 THEN repeat('0123456789abcdef', 2) WHEN 14 THEN concat('Zx9', repeat('k', 15)) ELSE concat('Zx9', repeat('k', 20)) END"""
+KEYS = "CASE doc_id % 7 WHEN 0 THEN 'password=' WHEN 1 THEN 'DB_PASSWORD = ' WHEN 2 THEN '\"api_key\": \"' WHEN 3 THEN 'api-key:' WHEN 4 THEN 'x_secret=' WHEN 5 THEN 'Session_Token = ' ELSE 'ssh_key=' END"
+_CHARS = "string_split(v, '')"
+_BITS = f"-list_sum(list_transform(list_distinct({_CHARS}), lambda x: len(list_filter({_CHARS}, lambda y: y = x)) / length(v)::DOUBLE * log2(len(list_filter({_CHARS}, lambda y: y = x)) / length(v)::DOUBLE)))"
+#: the decision in SQL: too short to count, a version, a stand-in, a path, long but plain
+_STAYS = f"""(length(v) < 8 OR regexp_matches(v, '{D.COMMIT}') OR regexp_matches(v, '{D.UUID}') OR starts_with(v, '$') OR contains(v, '(') OR (starts_with(v, '<') AND ends_with(v, '>'))
+  OR (length(v) - length(replace(v, '/', '')) >= 2 AND regexp_matches(v, '{D.PATH}')) OR (length(v) >= {D.LONG} AND {_BITS} <= {D.LEAST_ENTROPY}))"""
+
+
+@query(f"""SELECT doc_id, clean, len(regexp_extract_all(clean, '\\[REDACTED:')) AS hits FROM (SELECT doc_id, {_formats('text')} || ' ' || k || CASE WHEN {_STAYS} THEN v ELSE '[REDACTED:keyed-secret]' END || ' token=$VAR' AS clean
+  FROM (SELECT doc_id, text, {KEYS} AS k, {KEYED} AS v FROM ({PLANTED.format(documents='documents')})))""")
 def redaction(spark, sf_dir):
-    """Whole texts with planted credentials, without their secrets, and how many marks stand in them."""
-    leaking = spark.sql(PLANTED, documents=table(spark, sf_dir, "documents")).withColumn("text", F.concat("text", F.lit(" password="), F.lit("hunter22x token=$VAR")))
+    """Whole texts with planted credentials and keyed values of every kind, without their secrets, and how many marks stand in them."""
+    planted = spark.sql(PLANTED, documents=table(spark, sf_dir, "documents"))
+    leaking = planted.select("doc_id", F.concat("text", F.lit(" "), F.expr(KEYS), F.expr(KEYED), F.lit(" token=$VAR")).alias("text"))
     clean = D.redacted_rows(leaking, ["text"])
     return clean.select("doc_id", F.col("text").alias("clean"), F.size(D.hits(F.col("text"))).alias("hits"))
 
@@ -106,7 +120,13 @@ def entropy(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(D.entropy(F.col("text")), 5).alias("bits"))
 
 
-@query("SELECT item, tokens FROM (VALUES ('parseFileCache', 'parse file cache parsefilecache'), ('build_state', 'build state build_state'), ('HTTPServer', 'http server httpserver'), ('aB', 'ab')) v(item, tokens)")
+#: names in several styles for each part, with the words that they are made of
+NAMES = """CASE p_partkey % 5 WHEN 0 THEN concat('parse', upper(substr(w, 1, 1)), substr(w, 2), 'Cache') WHEN 1 THEN concat(w, '_state_', CAST(p_size AS STRING)) WHEN 2 THEN concat('HTTP', upper(substr(w, 1, 1)), substr(w, 2)) WHEN 3 THEN concat('a', upper(substr(w, 1, 1)), substr(w, 2)) ELSE concat(w, '.x::', w) END"""
+
+
+@query(f"""SELECT p_partkey, item, CASE p_partkey % 5 WHEN 0 THEN 'parse ' || w || ' cache ' || lower(item) WHEN 1 THEN w || ' state ' || CASE WHEN p_size > 9 THEN p_size || ' ' ELSE '' END || lower(item) WHEN 2 THEN 'http ' || w || ' ' || lower(item) WHEN 3 THEN w || ' ' || lower(item) ELSE w || ' ' || w || ' ' || lower(item) END AS tokens
+  FROM (SELECT *, {NAMES} AS item FROM (SELECT p_partkey, p_size, regexp_extract(lower(p_name), '[a-z][a-z]+') AS w FROM part))""")
 def name_tokens(spark, sf_dir):
-    names = spark.createDataFrame([("parseFileCache",), ("build_state",), ("HTTPServer",), ("aB",)], "item string")
-    return names.select("item", T.name_tokens(F.col("item")).alias("tokens"))
+    """Words of names in camel, snake and dotted style, made of the parts' own names."""
+    words = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.regexp_extract(F.lower("p_name"), "[a-z][a-z]+", 0).alias("w"))
+    return words.select("p_partkey", F.expr(NAMES).alias("item")).select("p_partkey", "item", T.name_tokens(F.col("item")).alias("tokens"))
