@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import payloads as P
+from tessera.sources.shared import written
 
 from .registry import query
 from .tables import table
@@ -38,7 +39,7 @@ _PARTS = "CAST(event_id AS STRING) AS e, CAST(event_id % 5 AS STRING) AS v, CAST
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "ts", *_PARTS.split(", "))
-    return named.select("event_id", "ts", F.expr(PAYLOAD).alias("payload"))
+    return written(named.select("event_id", "ts", F.expr(PAYLOAD).alias("payload")))  # a table of its own, as a store would hand it over
 
 
 _PLANTED = f"p AS (SELECT event_id, ts, {PAYLOAD} AS payload FROM (SELECT event_id, user_id, ts, {_PARTS} FROM events))"
