@@ -74,7 +74,7 @@ def test_phrases_are_terms_of_their_own(spark):
     assert [r[0] for r in q.select(text.search_terms(F.col("q"))).collect()] == [["connection pool", "configured"], ["pool"], []]
     docs = spark.createDataFrame([(1, "the connection pool is full"), (2, "pool connection"), (3, "a connection, pool")], "id long, content string")
     terms = spark.createDataFrame([(1, "connection pool")], "question long, term string")
-    assert sorted(r.id for r in search.bm25(docs, terms, phrase_words=(2,)).collect()) == [1, 3]
+    assert sorted(r.id for r in search.bm25(docs, terms).collect()) == [1, 3]
 
 
 def test_search_in_blocks_is_the_same(spark):
@@ -90,3 +90,14 @@ def test_expiry_and_release(spark):
     activity = spark.createDataFrame([(2, NOW - timedelta(minutes=5), ["a"])], "id long, last_activity timestamp, files array<string>")
     got = lifecycle.expired(s, activity, F.lit(NOW)).collect()
     assert [(r.id, r.minutes, r.summary) for r in got] == [(1, 50, "Auto-expired after 50 minutes of inactivity. No file changes were tracked.")]
+
+
+def test_term_counts(spark):
+    """Words and phrases of any length, overlaps included, and a row with the size of every text."""
+    docs = spark.createDataFrame([(1, "a a a b"), (2, "b a, a"), (3, None), (4, "c")], "id long, content string")
+    terms = spark.createDataFrame([(1, "a"), (1, "a a"), (2, "a a b"), (2, "a a"), (3, "b b")], "question long, term string")
+    got = sorted((r.id, r.size, r.term or "", r.tf) for r in search.term_counts(docs, terms).collect())
+    assert got == [(1, 4, "", 1), (1, 4, "a", 3), (1, 4, "a a", 2), (1, 4, "a a b", 1), (2, 3, "", 1), (2, 3, "a", 2), (2, 3, "a a", 1), (3, 0, "", 1), (4, 1, "", 1)]
+    phrases = spark.createDataFrame([(7, "a a b"), (8, "b a"), (9, "b a")], "question long, phrase string")
+    assert sorted(tuple(r) for r in search.phrase_matches(docs, phrases).collect()) == [(7, 1), (8, 2), (9, 2)]
+    assert search.bm25(docs.limit(0), terms).count() == 0 and search.bm25(docs, terms.limit(0)).count() == 0
