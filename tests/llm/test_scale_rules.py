@@ -164,3 +164,38 @@ def test_small_tables_use_cells_too(spark, monkeypatch):
     want = ((unit @ unit.T >= 0.93) & same & ~np.eye(500, dtype=bool)).sum(1)
     got = {r.vec_id: r.n_links for r in embedding_components(df).collect()}
     assert fitted == [11] and want.sum() > 500 and [got[i] for i in range(500)] == want.tolist()
+
+
+def test_visits_in_waves_and_tiles_take_little_disk(spark, monkeypatch):
+    """What visits write grew with the cells of a vector, 30 times the vectors' bytes here; now every pair is still found in waves and small tiles."""
+    from pathlib import Path
+
+    from tessera.llm import embedding_dedup as module
+
+    alive, keep, drop = {}, module.materialize, module.discard
+    most = [0]
+
+    def kept(df, *how):
+        out = keep(df, *how)
+        alive[out._tessera_path] = sum(f.stat().st_size for f in Path(out._tessera_path.removeprefix("file://")).rglob("*") if f.is_file())
+        most[0] = max(most[0], sum(alive.values()))
+        return out
+
+    def dropped(df):
+        alive.pop(getattr(df, "_tessera_path", None), None)
+        drop(df)
+
+    monkeypatch.setattr(module, "materialize", kept)
+    monkeypatch.setattr(module, "discard", dropped)
+    draw = np.random.default_rng(14)
+    rows = draw.normal(size=(3000, 64))
+    rows[:600] = rows[600:1200] + draw.normal(size=(600, 64)) * 0.2
+    rows[1200:1500] = rows[1200] + draw.normal(size=(300, 64)) * 0.25
+    unit = np.array(rows, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.arange(3000) // 1500 % 2
+    want = ((unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(3000, dtype=bool)).sum(1)
+    df = spark.createDataFrame([(i, [float(x) for x in v], int(label[i])) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_components(df, tile=40, wave_bytes=3_000_000).collect()}
+    assert want.sum() > 10_000 and [got[i] for i in range(3000)] == want.tolist()
+    assert most[0] < 4 * 3000 * 64 * 4
