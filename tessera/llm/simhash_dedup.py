@@ -45,8 +45,13 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)]
+    return majority(np.array(hashes, np.dtype("<u8")))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
     n = len(hashes)
-    lanes = np.array(hashes, np.dtype("<u8")).view(np.uint8).reshape(n, 8) + _LANES
+    lanes = hashes.view(np.uint8).reshape(n, 8) + _LANES
     seen = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)
     ones = (seen @ _BITS).ravel()
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
