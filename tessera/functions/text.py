@@ -20,6 +20,16 @@ STOPWORDS = (
 MAX_TERMS = 12
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing behind it; false for null.
+
+    Spark's parser stops after the first value. So the text is read as the only item of an array and as the value of a key: what
+    closes the one bracket early does not fit into the other.
+    """
+    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
+    return (F.coalesce(F.size(items), F.lit(-1)) == 1) & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 

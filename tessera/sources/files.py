@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.functions import text as T
 from tessera.operators.inventory import MOST_BYTES, listed
 
 
@@ -29,7 +30,7 @@ def parse_tagged(lines: DataFrame, schema: StructType, kind: str = "entry") -> D
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
-    return lines.where(F.col("value").isNotNull() & (F.trim("value") != "") & F.try_parse_json("value").isNull())
+    return lines.where(F.col("value").isNotNull() & (F.trim("value") != "") & ~T.is_json(F.col("value")))
 
 
 def absent_only(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def line_faults(lines: DataFrame) -> DataFrame:
     kind, text = F.get_json_object("value", "$.kind"), F.trim("value")
     data = F.when(kind.isNull(), F.col("value")).otherwise(F.get_json_object("value", "$.data"))
     fault = (
-        F.when(F.col("value").isNull() | (text == ""), "empty").when(F.try_parse_json("value").isNull(), "no JSON").when(~text.startswith("{"), "no object")
+        F.when(F.col("value").isNull() | (text == ""), "empty").when(~T.is_json(F.col("value")), "no JSON").when(~text.startswith("{"), "no object")
         .when(kind.isNotNull() & ~kind.isin("entry", "edge", "session"), "unknown kind").when(F.get_json_object(data, "$.id").isNull(), "no id")
     )
     return lines.select(fault.alias("fault")).where("fault is not null").groupBy("fault").agg(F.count("*").alias("n"))

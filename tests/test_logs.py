@@ -2,6 +2,9 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from tessera.functions.text import is_json
 from tessera.sources import files as S
 
 COLUMNS = [("at", "timestamp"), ("project", "string"), ("outcome", "string"), ("ms", "long"), ("n", "int")]
@@ -32,3 +35,13 @@ def test_line_faults(spark):
     lines = [None, " ", "{", "5", "[1]", '{"kind":"x","data":{"id":1}}', '{"kind":"edge","data":{}}', '{"a":1}', '{"id":1}', '{"kind":"entry","data":{"id":2}}']
     got = {r.fault: r.n for r in S.line_faults(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
     assert got == {"empty": 2, "no JSON": 1, "no object": 2, "unknown kind": 1, "no id": 2}
+
+
+def test_one_value_and_nothing_behind_it(spark):
+    sound = ["1", " -2.5e3 ", '"a]}"', "null", "[1, 2]", '{"a": [1], "b": {}}', "\t[]\n"]
+    broken = ["4397110767823743 +1 (654) 555-4136 a text", "1 2", "1, 2", "{} x", '{"a": 1} {"b": 2}', "1], [2", '1}, {"a": 1', '1, "b": 2', "[1] ]", "", " ", "[1,]", "nul", None]
+    got = [r.j for r in spark.createDataFrame([(i, x) for i, x in enumerate(sound + broken)], "i int, value string").select("i", is_json(F.col("value")).alias("j")).orderBy("i").collect()]
+    assert [bool(x) for x in got] == [True] * len(sound) + [False] * len(broken) and None not in got
+    lines = spark.createDataFrame([("4397110767823743 +1 (654) a text",), ("12",), ('{"id": 1} rest',)], "value string")
+    assert {(r.fault, r.n) for r in S.line_faults(lines).collect()} == {("no JSON", 2), ("no object", 1)}
+    assert S.bad_lines(lines).count() == 2
