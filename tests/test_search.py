@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -52,3 +53,14 @@ def test_no_word_is_shuffled(spark):
     counts = P.counted(df, P.numbered(spark.createDataFrame([(1, "a"), (1, "b a")], "question long, term string")), "id", F.col("content"))
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.size, sorted(r.counts)) for r in counts.collect()) == [(1, 3, [1, 2]), (2, 1, [])]
+
+
+def test_phrase_of_many_rows_and_questions(spark):
+    """Pairs of a common phrase are made by many tasks, each pair once."""
+    docs = spark.createDataFrame([(i, "x of the y" if i % 2 else "the of") for i in range(16_000)], "id long, content string").repartition(5)
+    rows = [(q, "of the") for q in range(6)] * 2 + [(20, "of the"), (20, "the y"), (21, "the y"), (21, "no such")]
+    got = S.phrase_matches(docs, spark.createDataFrame(rows, "question long, phrase string")).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.question, r.id) for r in got) == sorted((q, i) for q in {q for q, _ in rows} for i in range(1, 16_000, 2))
+    tasks = Counter(r.task for r in got if r.question < 20)
+    assert len(tasks) > 3 and max(tasks.values()) <= sum(tasks.values()) / 2
+    assert S.phrase_matches(docs.limit(0), spark.createDataFrame(rows, "question long, phrase string")).count() == 0
