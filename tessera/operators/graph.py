@@ -155,11 +155,33 @@ def hubs(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("sites")).orderBy(F.desc("sites"), "id").limit(k)
 
 
-def edges_of(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Names at both ends to ids; what does not resolve goes, repeated edges once."""
-    a = symbols.select(F.col("id").alias("source"), F.col("qualified_name").alias("source_name"))
-    b = symbols.select(F.col("id").alias("target"), F.col("qualified_name").alias("target_name"))
-    return calls.join(a, "source_name").join(b, "target_name").select("source", "target", "type", "line").distinct()
+#: symbols up to which their names, with the ids of each, go to the tasks as one table; more are met by a shuffle
+MOST_BROADCAST = 1 << 21
+
+
+def edges_of(calls: DataFrame, symbols: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Names at both ends to ids; what does not resolve goes, repeated edges once.
+
+    Edges are made distinct by name, before each end stands for all ids of its name; the lists of ids are opened last, so no edge by id is shuffled. Two
+    names lead to the same edge only where an id has several names; edges with such an end are made distinct by id.
+    """
+    named = symbols.select("id", "qualified_name").where("qualified_name is not null").distinct()
+    several = F.count("*").over(Window.partitionBy("id")) > 1
+    ids = lambda which: F.collect_list(F.when(which, F.struct("id")))["id"]  # noqa: E731  a struct, so that a null id stays
+    lists = written(named.withColumn("several", several).groupBy("qualified_name").agg(ids(~F.col("several")).alias("one"), ids(F.col("several")).alias("more")))
+    held = lists.agg(F.sum(F.size("one")).alias("one"), F.sum(F.size("more")).alias("more")).first()
+    sent = F.broadcast if (held.one or 0) + (held.more or 0) <= most_broadcast else lambda x: x
+    once = calls.select("source_name", "target_name", "type", "line").where("source_name is not null and target_name is not null").distinct()
+
+    def opened(source: Column, target: Column) -> DataFrame:
+        a = lists.select(F.col("qualified_name").alias("source_name"), source.alias("sources")).where("size(sources) > 0")
+        b = lists.select(F.col("qualified_name").alias("target_name"), target.alias("targets")).where("size(targets) > 0")
+        rows = once.join(sent(a), "source_name").join(sent(b), "target_name").select(F.explode("sources").alias("source"), "targets", "type", "line")
+        return rows.select("source", F.explode("targets").alias("target"), "type", "line")
+
+    one, more = F.col("one"), F.col("more")
+    certain = opened(one, one)
+    return certain.union(opened(more, F.concat(one, more)).union(opened(one, more)).distinct()) if held.more else certain
 
 
 def symbol_lookup(symbols: DataFrame, names: DataFrame) -> DataFrame:
